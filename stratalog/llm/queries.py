@@ -10,7 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, sentencepiece_codec, sharding, simhash_dedup, token_counts
+from . import (
+    chat_format,
+    decontaminate,
+    quality_rules,
+    sentencepiece_codec,
+    sharding,
+    simhash_dedup,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+)
 from .common import shared_path
 
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
@@ -46,6 +56,24 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes from every document and a digest of what stays."""
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that is there twice or more, with its component and whether it goes."""
+    out = substring_dedup.duplicate_units(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("lo").alias("first_byte"), F.col("hi").alias("end_byte"), "n_words", F.col("component").alias("component_id"), "removed")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every document; documents labelled good are the trusted target."""
     docs = _table(spark, sf_dir, "documents")
@@ -87,6 +115,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document, with its best window."""
+    out = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.round("similarity", 6).alias("similarity"), "first_word", "n_words")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and one made of control strings, formatted and read back."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -132,8 +166,11 @@ ORACLE: dict[str, str] = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_sharding": op2_sharding,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
 }
