@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import (
     chat_format,
     decontaminate,
+    license_scan,
     quality_rules,
     sentencepiece_codec,
     sharding,
@@ -68,6 +69,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, which is a file ``source/lang/doc_id``."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    out = license_scan.scan(docs.select(path.alias("path"), "text"))
+    return out.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "license", "method", "similarity")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage that is there twice or more, with its component and whether it goes."""
     out = substring_dedup.duplicate_units(_table(spark, sf_dir, "documents"))
@@ -149,7 +158,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ESCAPED_LENGTH = r"length(regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g'))"
 
+_FILES = "SELECT coalesce(source, '') || '/' || coalesce(lang, '') || '/' || coalesce(CAST(doc_id AS VARCHAR), '') AS path, coalesce(text, '') AS text FROM documents"
+
 ORACLE: dict[str, str] = {
+    "op4_license_scan": f"SELECT CAST(split_part(path, '/', 3) AS BIGINT) AS doc_id, * FROM ({license_scan.oracle(_FILES)})",
     "op10_chat_format": f"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -167,6 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_sharding": op2_sharding,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
