@@ -177,6 +177,18 @@ class Items:
         return [(i, *x) for i, x in sorted(found.items())]
 
 
+def _blocks(items: DataFrame, item_col: str, item_text: str) -> tuple[DataFrame, int]:
+    chosen = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
+    total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return chosen, 1 + total // BLOCK_BYTES
+
+
+def _sent(chosen: DataFrame, blocks: int, k: int):
+    """Block k of the items, sent to the executors; about BLOCK_BYTES large."""
+    part = chosen.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text")
+    return chosen.sparkSession.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     radius: int = RADIUS, similarity: float = SIMILARITY,
@@ -190,10 +202,7 @@ def find_leaks(
     shingle; a text shorter than an item is one window. Null and empty texts and items have no
     words and leak nothing; repeated rows are reported again; no items or rows give no rows.
     """
-    spark = docs.sparkSession
-    chosen = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
-    total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total // BLOCK_BYTES
+    chosen, blocks = _blocks(items, item_col, item_text)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((src, "id"), (chosen, "item"))]
     schema = f"id {kinds[0]}, item {kinds[1]}, similarity double, first_word long, n_words long"
@@ -216,8 +225,28 @@ def find_leaks(
     item_type = to_arrow_type(chosen.schema["item"].dataType)
     out = None
     for k in range(blocks):
-        part = chosen.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        rows = spark.sparkContext.broadcast([tuple(r) for r in part.orderBy("item", "text").toLocalIterator()])
+        rows = _sent(chosen, blocks, k)
         found = src.mapInArrow(search(rows), schema)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_leaks(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY
+) -> DataFrame:
+    """Rows of ``docs`` that leak no item, all columns kept; the same search as ``find_leaks``."""
+    chosen, blocks = _blocks(items, item_col, item_text)
+    at = docs.columns.index(text_col)
+
+    def clean(rows):
+        def run(batches):
+            own = Items(rows.value, radius, similarity)
+            for b in batches:
+                keep = [not own.leaks((x.as_py() or "").encode()) for x in b.column(at)]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    for k in range(blocks):
+        docs = docs.mapInArrow(clean(_sent(chosen, blocks, k)), docs.schema)
+    return docs
