@@ -30,7 +30,7 @@ def compile_format(text: str) -> Format:
             fields.append((piece, group))
             out += "(.*?)"
         else:
-            group += re.compile(piece).groups
+            group += len(re.findall(r"(?<!\\)\((?!\?)", piece))
             out += re.sub(" +", lambda _: r"\s+", piece)
     return Format(f"^{out}$", tuple(fields))
 
@@ -62,6 +62,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "line_id long, value string")
 
 
+CSV_OUT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 STRUCTURED = T.StructType([T.StructField("LineId", T.LongType()), T.StructField("Content", T.StringType()), T.StructField("EventId", T.StringType()), T.StructField("EventTemplate", T.StringType())])
 TEMPLATES = T.StructType([T.StructField("EventId", T.StringType()), T.StructField("EventTemplate", T.StringType())])
 
@@ -83,13 +84,13 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
 def write_structured(numbered: DataFrame, path: str) -> None:
     """Lines with event ids as CSV: ``LineId, Content, EventId, EventTemplate``."""
     out = numbered.select(F.col("line_id").alias("LineId"), F.col("content").alias("Content"), F.col("event_id").alias("EventId"), F.col("template").alias("EventTemplate"))
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    out.write.mode("overwrite").options(**CSV_OUT).csv(path)
 
 
 def write_templates(catalog: DataFrame, path: str) -> None:
     """The catalogue, one file in numeric order of the ids; it is as small as its templates."""
     out = catalog.select(F.col("event_id").alias("EventId"), F.col("template").alias("EventTemplate"), F.col("occurrences").alias("Occurrences"))
-    out.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    out.coalesce(1).write.mode("overwrite").options(**CSV_OUT).csv(path)
 
 
 def write_trace(trace: DataFrame, path: str) -> None:
