@@ -18,88 +18,103 @@ from pyspark.sql import functions as F
 BINS = 8192
 THRESHOLD = -0.09
 UNIT = 1_000_000
+MOST_TRUSTED = 200_000
 # White space that ends a word, and symbol characters.
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SPACES = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives none."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def bins_of(words: Column, bins: int = BINS) -> Column:
-    """Bins of all unigrams and bigrams, in no defined order."""
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    one = F.transform(h, lambda x: F.pmod(x, F.lit(bins)).cast("int"))
-    two = F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(bins)).cast("int"))
-    return F.concat(one, F.slice(two, 1, F.greatest(F.size(h) - 1, F.lit(0))))
+def hashed(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``_words``, and ``_one`` and ``_two``, hashes of words and word pairs. Each
+    is a column of its own, so that none is computed twice."""
+    d = docs.withColumn("_words", words_of(F.col(text_col)))
+    d = d.withColumn("_one", F.transform("_words", lambda w: F.xxhash64(w)))
+    return d.withColumn("_two", _followed(F.col("_one"), F.col("_one"), 1))
+
 
+def _followed(left: Column, one: Column, by: int) -> Column:
+    """Hashes of runs, each longer by the word that follows it ``by`` words after its first."""
+    n = F.greatest(F.size(one) - by, F.lit(0))
+    return F.zip_with(F.slice(left, 1, n), F.slice(one, by + 1, n), lambda a, b: F.xxhash64(a, b))
 
-def repeat_words(words: Column) -> Column:
-    """Words covered by 3-word windows that occur twice or more. The windows' hashes are
-    sorted only where a text has a repeated one."""
-    n = F.size(words)
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    shifted = F.zip_with(h, F.slice(h, 2, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    triple = F.slice(F.zip_with(shifted, F.slice(h, 3, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(n - 2, F.lit(0)))
-    return F.when(n < 3, F.lit(0)).otherwise(
-        F.aggregate(
-            F.array(triple), F.lit(0), lambda _, t: F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).otherwise(_covered(t))
-        )
-    ).cast("long")
 
+def _packed(triple: Column, places: Column) -> Column:
+    """Window hashes with their low bits, as many as places need, replaced by the place; only
+    where a hash repeats."""
+    return F.when(F.size(F.array_distinct(triple)) < F.size(triple), F.transform(triple, lambda h, i: h.bitwiseAND(-places).bitwiseOR(i.cast("long")))).otherwise(
+        F.array().cast("array<long>")
+    )
 
-def _covered(t: Column) -> Column:
-    ordered = F.sort_array(F.transform(t, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
-    def places(s: Column) -> Column:
-        same = lambda x, j: x["h"] == F.get(s, j)["h"]
-        hit = F.transform(s, lambda x, j: F.when(F.coalesce(same(x, j - 1), F.lit(False)) | F.coalesce(same(x, j + 1), F.lit(False)), x["i"]))
-        return F.sort_array(F.filter(hit, lambda i: i.isNotNull()))
+def _pairs(packed: Column, triple: Column, places: Column) -> Column:
+    """Neighbours in sorted order with one hash: the two places as one number."""
+    n = F.greatest(F.size(packed) - 1, F.lit(0))
+    same = F.zip_with(
+        F.slice(packed, 1, n),
+        F.slice(packed, 2, n),
+        lambda x, y: F.when(x.bitwiseXOR(y) < places, F.shiftleft(x.bitwiseAND(places - 1), 32).bitwiseOR(y.bitwiseAND(places - 1))),
+    )
+    # the low bits of the hashes are compared here
+    return F.filter(F.array_compact(same), lambda e: F.get(triple, F.shiftright(e, 32).cast("int")) == F.get(triple, e.bitwiseAND(0xFFFFFFFF).cast("int")))
 
-    def span(p: Column) -> Column:
-        # a window adds three words less those that the one before it has covered
-        step = F.transform(p, lambda i, j: F.when(j == 0, F.lit(3)).otherwise(F.least(F.lit(3), i - F.get(p, j - 1))))
-        return F.aggregate(step, F.lit(0), lambda a, x: a + x)
 
-    found = F.aggregate(F.array(ordered), F.array().cast("array<int>"), lambda _, s: places(s))
-    return F.aggregate(F.array(found), F.lit(0), lambda _, p: span(p))
+def _covered(places: Column) -> Column:
+    """Words in windows at these places: a window adds three words less those covered before."""
+    step = F.transform(places, lambda i, j: F.when(j == 0, F.lit(3).cast("long")).otherwise(F.least(F.lit(3).cast("long"), i - F.get(places, j - 1))))
+    return F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def base_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_words`` and the base counts."""
+    """``docs`` with the base counts and the columns of ``hashed``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.withColumn("_words", words_of(F.col(text_col)))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    d = d.withColumn("_lines", lines)
+    d = hashed(docs, text_col).withColumns({
+        "_three": _followed(F.col("_two"), F.col("_one"), 2),
+        "_lines": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)),
+    })
+    # a power of two above the number of words, as a column, for lambdas compute nothing once
+    d = d.withColumn("_places", F.pow(F.lit(2.0), F.ceil(F.log2(F.size("_words") + 1.0))).cast("long"))
+    d = d.withColumn("_packed", _packed(F.col("_three"), F.col("_places")))
+    d = d.withColumn("_packed", F.sort_array("_packed"))
+    d = d.withColumn("_pairs", _pairs(F.col("_packed"), F.col("_three"), F.col("_places")))
+    ends = F.concat(F.transform("_pairs", lambda e: F.shiftright(e, 32)), F.transform("_pairs", lambda e: e.bitwiseAND(0xFFFFFFFF)))
+    d = d.withColumn("_pairs", F.sort_array(F.array_distinct(ends)))
     d = d.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("_words")),
+        "n_repeat_words": _covered(F.col("_pairs")),
     })
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return d.withColumn("base_failed", failed).drop("_lines")
+    return d.withColumn("base_failed", failed).drop("_lines", "_three", "_words", "_packed", "_pairs", "_places")
 
 
-def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS) -> list[int]:
+def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, most_trusted: int = MOST_TRUSTED) -> list[int]:
     """Weights of the bins, in millionths: log of the trusted share over the raw share, both
-    with one added per bin. Counts come from all n-grams of all documents, aggregated map-side
-    per bin; ``bins`` pairs of numbers reach the driver. ``trusted`` has the trusted ids, once
-    each; without any, all weights are 0."""
+    with one added per bin.
+
+    ``trusted`` has the trusted ids; if there are more than ``most_trusted``, those with the
+    smallest hashes are taken, so what is broadcast has a fixed bound. Counts come from all
+    n-grams of all documents in one scan, aggregated map-side per bin; ``bins`` rows reach the
+    driver. Without any trusted document all weights are 0.
+    """
+    if bins & (bins - 1):
+        raise ValueError("bins must be a power of two")
     good = trusted.select(F.col(id_col).alias("_good")).where(F.col("_good").isNotNull()).distinct()
-    src = docs.select(F.col(id_col).alias("_id"), bins_of(words_of(F.col(text_col)), bins).alias("_bins"))
-    raw = src.select(F.explode("_bins").alias("bin")).groupBy("bin").agg(F.count("*").alias("raw"))
-    ids = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(good, F.col("_id") == F.col("_good"), "left_semi")
-    target = ids.select(F.explode(bins_of(words_of(F.col("_text")), bins)).alias("bin")).groupBy("bin").agg(F.count("*").alias("target"))
+    good = good.orderBy(F.xxhash64("_good"), "_good").limit(most_trusted)
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    src = src.join(F.broadcast(good), F.col("_id") == F.col("_good"), "left").select("_text", F.col("_good").isNotNull().cast("int").alias("good"))
+    grams = hashed(src, "_text").select("good", F.explode(F.concat("_one", "_two")).alias("gram"))
+    counts = grams.groupBy(F.col("gram").bitwiseAND(bins - 1).cast("int").alias("bin")).agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
     r, t = np.zeros(bins), np.zeros(bins)
-    for row in raw.collect():
-        r[row["bin"]] = row["raw"]
-    for row in target.collect():
-        t[row["bin"]] = row["target"]
+    for row in counts.collect():
+        r[row["bin"]], t[row["bin"]] = row["raw"], row["target"]
     if not t.sum():
         return [0] * bins
     r, t = r + 1, t + 1
@@ -110,16 +125,16 @@ def scored(docs: DataFrame, weights: list[int], text_col: str = "text", threshol
     """``docs`` with the base counts, ``score`` (mean log-likelihood ratio per n-gram) and
     ``kept``: not ``base_failed`` and a score of at least ``threshold``.
 
-    Null and empty texts have no words and fail. Every row gets a verdict, repeated rows the
+    Null and empty texts have no words and fail. Up to 2**31 words are told apart. Every row gets a verdict, repeated rows the
     same one; columns of ``docs`` with the names given here are replaced; an empty table stays
     empty.
     """
     bins = len(weights)
     table = F.lit(np.array(weights, np.int64))
-    made = ["_words", "_lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
+    made = ["_words", "_lines", "_one", "_two", "_three", "_packed", "_pairs", "_places", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     d = base_columns(docs.drop(*made), text_col)
-    total = F.aggregate(bins_of(F.col("_words"), bins), F.lit(0).cast("long"), lambda a, b: a + F.get(table, b))
+    total = F.aggregate(F.concat("_one", "_two"), F.lit(0).cast("long"), lambda a, x: a + F.get(table, x.bitwiseAND(bins - 1).cast("int")))
     n = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
-    d = d.withColumn("score", F.round(total / (n * UNIT), 6)).drop("_words")
+    d = d.withColumn("score", F.round(total / (n * UNIT), 6)).drop("_one", "_two")
     least = math.floor(threshold * UNIT) / UNIT
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
