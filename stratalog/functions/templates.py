@@ -189,3 +189,26 @@ def merged(new: Column, known: Column) -> Column:
     out = post_processed(F.array_join(pair, " "))["template"]
     fits = valid(out) & matches(new, out) & matches(known, out)
     return F.when(new == known, new).when((F.size(a) == F.size(b)) & (wild > 0) & mergeable(a, b) & fits, out)
+
+
+def _differ(a: Column, b: Column) -> Column:
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda v: v))
+
+
+def mergeable_simply(a: Column, b: Column) -> Column:
+    """Token lists of one length with under a fifth of the places different."""
+    return (F.size(a) == F.size(b)) & F.coalesce(F.try_divide(_differ(a, b), F.size(a)) < 0.2, F.lit(False))
+
+
+def mergeable_by_distance(a: Column, b: Column, jaccard_over: float = 0.8, edits_up_to: float = 0.3) -> Column:
+    """One edit apart, or Jaccard over 0.8, or both longer than ten with few edits for it."""
+    from .text import edit_words, jaccard
+
+    edits = edit_words(a, b)
+    long = (F.size(a) > 10) & (F.size(b) > 10) & (edits / F.greatest(F.size(a), F.size(b)) <= edits_up_to)
+    return F.coalesce((edits <= 1) | (jaccard(a, b) > jaccard_over) | long, F.lit(False))
+
+
+def variable_token(token: Column) -> Column:
+    """A token that a parameter would look like: digits, a wildcard, a path, or a call."""
+    return token.contains(WILD) | token.rlike("[0-9]") | token.rlike(r"^[A-Za-z_]\w*\(.*\)$") | token.rlike("/.+/")

@@ -129,15 +129,54 @@ def common_suffix(a: Column, b: Column) -> Column:
     return F.reverse(common_prefix(F.reverse(a), F.reverse(b)))
 
 
+# Separators of template comparison besides white space, and those that stay.
+SPLITTERS = "!\"#$%&'()+,-/:;=?@.[\\]^_`{|}~"
+STAYING = "=|()"
+_CLASS = "".join("\\" + c for c in SPLITTERS)
+_GONE = "".join("\\" + c for c in SPLITTERS if c not in STAYING)
+
+
 def split_message(text: Column) -> Column:
-    """Tokens with their separators for template comparison: runs of white space or punctuation
+    """Tokens with their separators for template comparison: runs of white space and punctuation
     separate and are tokens themselves; tokens with a wildcard are the wildcard; punctuation
     but ``= | ( )`` goes; neighbouring wildcards are one."""
-    held = F.replace(text, F.lit(WILD), F.lit("\x01"))
-    parts = F.regexp_extract_all(held, F.lit(r"([^\s!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+)"), F.lit(1))
-    parts = F.transform(parts, lambda t: F.when(t.contains("\x01"), WILD).otherwise(t))
-    parts = F.filter(parts, lambda t: ~t.rlike(r"^[!-'*-/:;<>?@\[-`{}~]+$") | (t == WILD))
-    return _merge_wild(parts)
+    parts = F.regexp_extract_all(text, F.lit(rf"([^\s{_CLASS}]+|[\s{_CLASS}]+)"), F.lit(1))
+    parts = F.transform(parts, lambda t: F.when(t.contains(WILD), WILD).otherwise(F.regexp_replace(t, rf"[\s{_GONE}]", "")))
+    return _merge_wild(F.array_remove(parts, ""))
+
+
+def template_similarity(a: Column, b: Column) -> Column:
+    """Shared tokens over all tokens less the shared, on message splits."""
+    x, y = split_message(a), split_message(b)
+    both = F.size(F.array_intersect(x, y))
+    return F.try_divide(both, F.size(x) + F.size(y) - both)
+
+
+def replace_hex(text: Column) -> Column:
+    return F.regexp_replace(text, "0x[0-9a-fA-F]+", WILD)
+
+
+def padded(items: Column, n: int) -> Column:
+    """A list repeated from its start until it has n items; an empty list stays empty."""
+    at = F.sequence(F.lit(0), F.lit(n - 1))
+    return F.when(F.size(items) == 0, items).when(F.size(items) >= n, F.slice(items, 1, n)).otherwise(F.transform(at, lambda i: F.get(items, i % F.size(items))))
+
+
+def spread_score(similarities: Column, weight: float = 0.5) -> Column:
+    """weight times the mean similarity plus the rest times the mean absolute difference of all
+    pairs of them; 0 for none."""
+    n = F.size(similarities)
+    total = F.aggregate(similarities, F.lit(0.0), lambda a, x: a + x)
+    apart = F.aggregate(similarities, F.lit(0.0), lambda a, x: a + F.aggregate(similarities, F.lit(0.0), lambda c, y: c + F.abs(x - y)))
+    return F.when(n == 0, 0.0).otherwise(weight * total / n + (1 - weight) * apart / (n * n))
+
+
+def similarities(logs: Column, first_only: bool = False) -> Column:
+    """Word Jaccard of the first text with each other one, or of all pairs in order."""
+    at = F.sequence(F.lit(0), F.size(logs) - 1)
+    upto = F.lit(1) if first_only else F.size(logs)
+    rows = F.transform(F.slice(at, 1, upto), lambda i: F.transform(F.slice(logs, i + 2, F.size(logs)), lambda y: F.coalesce(jaccard(tokens(F.get(logs, i)), tokens(y)), F.lit(0.0))))
+    return F.when(F.size(logs) < 2, F.array().cast("array<double>")).otherwise(F.flatten(rows))
 
 
 def _merge_wild(parts: Column) -> Column:

@@ -104,3 +104,9 @@ def averages(rows: DataFrame) -> DataFrame:
 def transposed(rows: DataFrame) -> DataFrame:
     """``metric, Dataset, value`` in long form."""
     return rows.unpivot(["Dataset"], METRICS, "metric", "value").select("metric", "Dataset", "value")
+
+
+def missing(spark, dataset: str) -> DataFrame:
+    """The summary row of a dataset without results."""
+    fields = "Dataset string, identified_templates long, ground_templates long, " + ", ".join(f"{m} double" for m in METRICS)
+    return spark.createDataFrame([(dataset, *[None] * (2 + len(METRICS)))], fields)

@@ -295,8 +295,17 @@ def lcs_words(spark, sf_dir):
     return _pairs(spark, sf_dir).select("line_id", "a", "b").mapInPandas(run, "line_id long, subsequence string, run string")
 
 
-@query(f"""WITH {LINES}, s AS (SELECT line_id, regexp_extract_all(replace({_MASKED}, '<*>', chr(1)), '([^\\s!-/:-@\\[-`{{-~]+|[!-/:-@\\[-`{{-~]+)', 1) AS p FROM lines),
-    w AS (SELECT line_id, list_filter(list_transform(p, t -> CASE WHEN contains(t, chr(1)) THEN '<*>' ELSE t END), t -> t = '<*>' OR NOT regexp_matches(t, '^[!-''*-/:;<>?@\\[-`{{}}~]+$')) AS p FROM s)
+_SPLIT_CLASS = "".join("\\" + ("''" if c == "'" else c) for c in X.SPLITTERS)
+_SPLIT_GONE = "".join("\\" + ("''" if c == "'" else c) for c in X.SPLITTERS if c not in X.STAYING)
+_SPLIT = f"""list_filter(list_transform(regexp_extract_all({{}}, '([^\\s{_SPLIT_CLASS}]+|[\\s{_SPLIT_CLASS}]+)', 1),
+    t -> CASE WHEN contains(t, '<*>') THEN '<*>' ELSE regexp_replace(t, '[\\s{_SPLIT_GONE}]', '', 'g') END), t -> t <> '')""".replace("{}", "\u00a7")
+
+
+def _split_sql(c: str) -> str:
+    return _SPLIT.replace("\u00a7", c)
+
+
+@query(f"""WITH {LINES}, w AS (SELECT line_id, {_split_sql(_MASKED)} AS p FROM lines)
     SELECT line_id, array_to_string(list_filter(p, (t, i) -> NOT (t = '<*>' AND i > 1 AND coalesce(p[i - 1], '') = '<*>')), '|') AS parts FROM w""")
 def message_split(spark, sf_dir):
     return _masked(spark, sf_dir).select("line_id", F.array_join(X.split_message(F.col("content")), "|").alias("parts"))
@@ -616,6 +625,104 @@ def metric_transpose(spark, sf_dir):
     return metrics.transposed(once.select("Dataset", *metrics.METRICS))
 
 
+# ---- smaller functions --------------------------------------------------------------------------
+
+
+@query(f"WITH {LINES} SELECT line_id, regexp_replace(concat(content, ' 0x', lower(hex(CAST(line_id AS VARCHAR)))), '0x[0-9a-fA-F]+', '<*>', 'g') AS masked FROM lines")
+def replace_hex(spark, sf_dir):
+    t = F.concat("content", F.lit(" 0x"), F.lower(F.hex(F.col("line_id").cast("string"))))
+    return event_lines(spark, sf_dir).select("line_id", X.replace_hex(t).alias("masked"))
+
+
+_COMMON = "url"
+for _p in X.COMMON_PARAMETERS:
+    _COMMON = f"regexp_replace({_COMMON}, '{_p}', '<*>', 'g')"
+
+
+@query(f"SELECT page_id, {_COMMON} AS masked FROM pages")
+def mask_common(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.mask_common(F.col("url")).alias("masked"))
+
+
+@query(f"WITH {LINES} SELECT line_id, regexp_matches(replace(content, '<*>', ''), '[^ A-Za-z!]') AS looks FROM lines")
+def variable_looking(spark, sf_dir):
+    return event_lines(spark, sf_dir).select("line_id", X.variable_looking(F.col("content")).alias("looks"))
+
+
+@query(f"""WITH {LINES}, t AS (SELECT line_id, {TOK.format('content')} AS a, {TOK.format('truth')} AS b FROM lines)
+    SELECT line_id, (contains(b[1], '<*>') OR a[1] = b[1]) AND (contains(b[-1], '<*>') OR a[-1] = b[-1]) AS ends, len(list_filter(b, x -> NOT contains(x, '<*>') AND NOT list_contains(a, x))) = 0 AS constants FROM t""")
+def template_prefilters(spark, sf_dir):
+    return event_lines(spark, sf_dir).select("line_id", T.ends_agree(F.col("content"), F.col("truth")).alias("ends"), T.constants_within(F.col("content"), F.col("truth")).alias("constants"))
+
+
+@query(f"""WITH {LINES}, w AS (SELECT line_id, truth, {_split_sql('truth')} AS p FROM lines), d AS (SELECT truth, min(line_id) AS f, any_value(list_filter(p, (t, i) -> NOT (t = '<*>' AND i > 1 AND coalesce(p[i - 1], '') = '<*>'))) AS p FROM w GROUP BY truth)
+    SELECT x.truth AS a, y.truth AS b, round(CAST(len(list_intersect(x.p, y.p)) AS DOUBLE) / (len(x.p) + len(y.p) - len(list_intersect(x.p, y.p))), 9) AS v FROM d x JOIN d y ON x.f < y.f""")
+def template_similarity(spark, sf_dir):
+    """All pairs of the few distinct templates of event lines, joined on the order of first lines."""
+    d = event_lines(spark, sf_dir).groupBy("truth").agg(F.min("line_id").alias("f"))
+    x, y = d.select(F.col("truth").alias("a"), F.col("f").alias("fa")), d.select(F.col("truth").alias("b"), F.col("f").alias("fb"))
+    return x.join(F.broadcast(y), F.col("fa") < F.col("fb")).select("a", "b", F.round(X.template_similarity(F.col("a"), F.col("b")), 9).alias("v"))
+
+
+_pair_query("merge_test_combined", lambda a, b: T.mergeable(a, b), """len(ta) = len(tb) AND (len(list_filter(list_zip(ta, tb), z -> z[1] IS DISTINCT FROM z[2])) <= 1
+    OR (len(list_filter(list_zip(ta, tb), z -> z[1] IS DISTINCT FROM z[2])) = 2 AND len(ta) > 10))""")
+_pair_query("merge_test_simple", lambda a, b: T.mergeable_simply(a, b), "len(ta) = len(tb) AND CAST(len(list_filter(list_zip(ta, tb), z -> z[1] IS DISTINCT FROM z[2])) AS DOUBLE) / len(ta) < 0.2")
+_pair_query("shared_words", lambda a, b: X.shared_words(a, b), f"CAST({_INTER} AS INT)")
+
+
+@query()
+def merge_test_distance(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("line_id", T.mergeable_by_distance(F.col("ta"), F.col("tb")).alias("v"))
+
+
+_THREES = f"""n AS (SELECT truth, content, row_number() OVER (PARTITION BY truth ORDER BY line_id) AS r FROM lines), g AS (SELECT truth, (r - 1) // 3 AS k, list(content ORDER BY r) AS l FROM n GROUP BY ALL HAVING count(*) = 3),
+    t AS (SELECT truth, k, {TOK.format('l[1]')} AS a, {TOK.format('l[2]')} AS b, {TOK.format('l[3]')} AS c FROM g),
+    s AS (SELECT truth, k, {_jac('a', 'b')} AS x, {_jac('a', 'c')} AS y, {_jac('b', 'c')} AS z FROM t)"""
+
+
+@query(f"""WITH {LINES}, {_THREES} SELECT truth, k, round(0.5 * (x + y + z) / 3 + 0.5 * 2 * (abs(x - y) + abs(x - z) + abs(y - z)) / 9, 9) AS every_pair, round(0.5 * (x + y) / 2 + 0.5 * 2 * abs(x - y) / 4, 9) AS to_first FROM s""")
+def lcu_score(spark, sf_dir):
+    """Spread scores of consecutive threes of lines of an event."""
+    w = Window.partitionBy("truth").orderBy("line_id")
+    n = event_lines(spark, sf_dir).withColumn("r", F.row_number().over(w) - 1)
+    g = n.groupBy("truth", F.expr("cast(r div 3 as bigint)").alias("k")).agg(F.sort_array(F.collect_list(F.struct("r", "content"))).alias("l")).where(F.size("l") == 3)
+    g = g.withColumn("l", F.transform("l", lambda x: x["content"]))
+    score = lambda first: F.round(X.spread_score(X.similarities(F.col("l"), first)), 9)
+    return g.select("truth", "k", score(False).alias("every_pair"), score(True).alias("to_first"))
+
+
+@query("SELECT o_custkey, array_to_string(list_transform(range(7), i -> x[1 + i % len(x)]), ',') AS padded FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS x FROM orders GROUP BY 1)")
+def list_padding(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("x"))
+    return o.select("o_custkey", F.array_join(X.padded(F.col("x"), 7), ",").alias("padded"))
+
+
+@query(f"""WITH {LINES}, d AS (SELECT truth AS g, line_id, content, row_number() OVER (PARTITION BY truth ORDER BY line_id) AS idx FROM lines), f AS (SELECT g, idx, 'T' || idx AS template FROM d WHERE idx % 3 = 2)
+    SELECT d.g AS "group", CAST(d.idx AS INT) AS idx, coalesce(f.template, 'T2', d.content) AS template FROM d LEFT JOIN f ON d.g = f.g AND d.idx = f.idx""")
+def reply_fill_missing(spark, sf_dir):
+    from .plans.propose import fill_missing
+
+    w = Window.partitionBy("truth").orderBy("line_id")
+    d = event_lines(spark, sf_dir).select(F.col("truth").alias("group"), F.row_number().over(w).alias("idx"), F.col("content").alias("log"))
+    found = d.where("idx % 3 = 2").select("group", "idx", F.concat(F.lit("T"), F.col("idx").cast("string")).alias("template"))
+    return fill_missing(d, found)
+
+
+@query(f"WITH {LINES} SELECT truth AS g, CAST(count(DISTINCT content) AS DOUBLE) / count(*) >= 0.8 AS again FROM lines GROUP BY 1")
+def requery_test(spark, sf_dir):
+    return event_lines(spark, sf_dir).groupBy(F.col("truth").alias("g")).agg((F.countDistinct("content") / F.count("*") >= 0.8).alias("again"))
+
+
+@query(f"WITH {LINES} SELECT DISTINCT truth AS template, CAST(length(truth) AS INT) AS n FROM lines ORDER BY n DESC, template")
+def sort_templates(spark, sf_dir):
+    return event_lines(spark, sf_dir).select(F.col("truth").alias("template"), F.length("truth").alias("n")).distinct().orderBy(F.col("n").desc(), "template")
+
+
+@query("SELECT 'none' AS \"Dataset\", CAST(NULL AS BIGINT) AS identified_templates, CAST(NULL AS BIGINT) AS ground_templates, " + ", ".join(f'CAST(NULL AS DOUBLE) AS "{m}"' for m in metrics.METRICS))
+def missing_result_row(spark, sf_dir):
+    return metrics.missing(spark, "none")
+
+
 # ---- whole plans --------------------------------------------------------------------------------
 
 
