@@ -69,10 +69,23 @@ def templates(pairs: DataFrame, keep: DataFrame | None = None) -> DataFrame:
 
 
 def summary(pairs: DataFrame, dataset: str) -> DataFrame:
-    """One metrics row; rows of one number each are put side by side."""
-    one = F.lit(True)
-    row = templates(pairs).join(F.broadcast(grouping(pairs)), one).join(F.broadcast(parsing(pairs)), one)
-    return row.select(F.lit(dataset).alias("Dataset"), "identified_templates", "ground_templates", "GA", "PA", "FGA", "PTA", "RTA", "FTA")
+    """One metrics row from one pass: everything follows from the (truth, pred) counts."""
+    p = Window.partitionBy("pred")
+    g = _groups(pairs).withColumn("truths_of_pred", F.count("*").over(p))
+    right = (F.col("c") == F.col("ct")) & (F.col("c") == F.col("cp"))
+    same = F.col("truth") == F.col("pred")
+    total = lambda when, what: F.coalesce(F.sum(F.when(when, what).otherwise(0)), F.lit(0))
+    s = g.agg(
+        F.countDistinct("pred").alias("identified_templates"), F.countDistinct("truth").alias("ground_templates"), F.sum("c").alias("rows"),
+        total(right, F.col("c")).alias("rows_right"), total(right, 1).alias("right"), total(same, F.col("c")).alias("rows_same"), total(same & (F.col("truths_of_pred") == 1), 1).alias("same"),
+    )
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    f = lambda n: _harmonic(share(n, "identified_templates"), share(n, "ground_templates"))
+    return s.select(
+        F.lit(dataset).alias("Dataset"), "identified_templates", "ground_templates",
+        share("rows_right", "rows").alias("GA"), share("rows_same", "rows").alias("PA"), f("right").alias("FGA"),
+        share("same", "identified_templates").alias("PTA"), share("same", "ground_templates").alias("RTA"), f("same").alias("FTA"),
+    )
 
 
 def of_complexity(templates_df: DataFrame, level: int, strict: bool = True) -> DataFrame:
