@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -36,7 +38,34 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let the driver's JVM notice finished jobs, so that executors drop their shuffle files."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+
+
+class Scratch:
+    """Tables of an operator's own in the shared folder: columnar and compressed, where a
+    checkpoint keeps whole rows, and dropped as soon as the operator is done with them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path, schema = shared_path(self.spark, name), df.schema
+        df.write.parquet(path)
+        del df
+        release(self.spark)
+        out = self.spark.read.schema(schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables, or all that are left."""
+        jvm = self.spark.sparkContext._jvm
+        for key in [id(t) for t in tables] or list(self.paths):
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(key))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

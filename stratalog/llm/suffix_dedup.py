@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, mix64, release
+from .common import Rolling, Scratch, cut, mix64, release
 
 THRESHOLD = 200
 DIGIT = 64
 PIECE = 1 << 17
+MOST = 20_000
 _LOW = np.uint64((1 << 18) - 1)
 
 
@@ -66,8 +67,59 @@ def _keyed(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     )
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
-    """``k1, k2, lo, hi``: runs of starts of windows that start anywhere else, too."""
+def _compare(batches):
+    """Runs of repeated windows from packed rows in order of their digit; the rows of a batch's
+    last digit wait for the next batch."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        d = t.column("d").to_numpy()
+        full = int(np.searchsorted(d, d[-1])) if len(d) else 0
+        held = t.slice(full)
+        if full:
+            yield from _repeated(t.slice(0, full))
+    if held is not None and held.num_rows:
+        yield from _repeated(held)
+
+
+def _repeated(t: pa.Table):
+    t = t.combine_chunks()
+    cells = [x.as_py() for x in t.column("hashes")]
+    sizes = np.array([len(x) // 8 for x in cells])
+    h = np.frombuffer(b"".join(cells), np.uint64)
+    row = np.repeat(np.arange(len(cells)), sizes)
+    first = np.cumsum(sizes) - sizes
+    times = t.column("times").to_numpy()[row]
+    _, inverse = np.unique(h, return_inverse=True)
+    hit = (np.bincount(inverse, weights=times)[inverse] > 1) & (times == 1)
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return
+    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])])
+    begin, end = at[new], at[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])]
+    own = row[begin]
+    lo = t.column("lo").to_numpy()[own] - first[own]
+    take = pa.array(own)
+    yield pa.RecordBatch.from_arrays(
+        [t.column("k1").combine_chunks().take(take), t.column("k2").combine_chunks().take(take), pa.array((lo + begin).astype(np.int32)), pa.array((lo + end).astype(np.int32))],
+        ["k1", "k2", "lo", "hi"],
+    )
+
+
+def _unpacked(batches):
+    for b in batches:
+        for d, k1, k2, lo, times, _, hashes in zip(*(c.to_pylist() for c in b.columns)):
+            h = np.frombuffer(hashes, np.int64)
+            n = len(h)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(np.full(n, times, np.int32))],
+                ["h", "k1", "k2", "p", "times"],
+            )
+
+
+def repeated_windows(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", depth: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
+    """``k1, k2, lo, hi``: runs of starts of windows that start anywhere else, too; it reads
+    tables of ``scratch``."""
     src = _keyed(docs, id_col, F.col(text_col))
 
     def find(batches):
@@ -97,43 +149,68 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # pass 1: digits that occur once end here
     digits = found.select("d", "c").groupBy("d").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("n > 1")
-    alive = cut(found.join(digits.select("d", (F.col("c0") == F.col("c1")).alias("one")), "d"))
-    release(docs.sparkSession)
+    alive = scratch.table(found.join(digits.select("d", (F.col("c0") == F.col("c1")).alias("one")), "d"), "anchors")
 
     # pass 2: contexts
     mixed = alive.where("not one")
-    contexts = cut(
-        mixed.groupBy("d", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("w"))
+    contexts = scratch.table(
+        mixed.groupBy("d", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("w")), "contexts"
     )
     settled = alive.where("one").select("k1", "k2", "lo", "hi").unionByName(
         mixed.join(contexts.where("n > 1").select("d", "c"), ["d", "c"], "left_semi").select("k1", "k2", "lo", "hi")
     )
 
-    # pass 3: single windows of one occurrence of every context
-    asked = contexts.select("w.*", (F.col("n") > 1).alias("twice")).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "twice")).alias("runs"))
+    # pass 3: windows of one occurrence of every context, packed in a row each
+    many = contexts.groupBy("d").agg(F.count("*").alias("contexts")).where(F.col("contexts") > MOST).select("d", F.lit(True).alias("many"))
+    asked = contexts.join(many, "d", "left").select("d", "w.*", (F.col("n") > 1).alias("twice"), F.coalesce("many", F.lit(False)).alias("many"))
+    asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("d", "lo", "hi", "twice", "many")).alias("runs"))
 
     def windows(batches):
         rolling = Rolling()
         for b in batches:
-            k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            rows = []
             for i in range(b.num_rows):
                 data = np.frombuffer(b.column(2)[i].as_buffer(), np.uint8)
-                runs = b.column(3)[i].as_py()
-                h = np.concatenate([window_hashes(data, rolling, r["lo"], r["hi"], depth) for r in runs])
-                p = np.concatenate([np.arange(r["lo"], r["hi"] + 1, dtype=np.int32) for r in runs])
-                twice = np.concatenate([np.full(r["hi"] - r["lo"] + 1, 1 + r["twice"], np.int32) for r in runs])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(np.full(len(h), k1[i])), pa.array(np.full(len(h), k2[i])), pa.array(p), pa.array(twice)],
-                    ["h", "k1", "k2", "p", "times"],
-                )
-
-    single = cut(src.select("k1", "k2", "text").join(asked, ["k1", "k2"]).mapInArrow(windows, "h long, k1 long, k2 long, p int, times int"))
+                k1, k2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                rows += [(r["d"], k1, k2, r["lo"], 1 + r["twice"], r["many"], window_hashes(data, rolling, r["lo"], r["hi"], depth).tobytes()) for r in b.column(3)[i].as_py()]
+            for at in range(0, len(rows), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 5000]), shape_types)], shape_names)
+
+    shape = "d long, k1 long, k2 long, lo int, times int, many boolean, hashes binary"
+    shape_names = [x.split()[0] for x in shape.split(", ")]
+    shape_types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    packed = scratch.table(src.select("k1", "k2", "text").join(asked, ["k1", "k2"]).mapInArrow(windows, shape), "windows")
     release(docs.sparkSession)
+
+    # equal windows share their digit, so a task compares the contexts of its digits as they come
+    few = packed.where("not many").drop("many").repartition("d").sortWithinPartitions("d").mapInArrow(_compare, "k1 long, k2 long, lo int, hi int")
+
+    # a digit with very many contexts is not gathered: its windows are rows of their own
+    single = packed.where("many").mapInArrow(_unpacked, "h long, k1 long, k2 long, p int, times int")
     again = single.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h")
     rest = single.where("times = 1").join(again, "h", "left_semi").select("k1", "k2", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    rest = rest.unionByName(few)
     return settled.unionByName(rest)
 
 
+def _merged(runs: DataFrame) -> DataFrame:
+    """Every document's runs in order, those that touch as one."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for cell in b.column(2):
+                lo, hi = cell.values.field("lo").to_numpy(), cell.values.field("hi").to_numpy()
+                order = np.argsort(lo, kind="stable")
+                lo, hi = lo[order], np.maximum.accumulate(hi[order])
+                new = np.concatenate([[True], lo[1:] > hi[:-1] + 1])
+                last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(hi) - 1]])
+                out.append([{"lo": int(x), "hi": int(y)} for x, y in zip(lo[new], hi[last])])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], ["k1", "k2", "runs"])
+
+    return runs.mapInArrow(run, "k1 long, k2 long, runs array<struct<lo:int,hi:int>>")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = THRESHOLD, digit: int = DIGIT) -> DataFrame:
     """``id, n_bytes, spans, kept`` of every row: the removed byte spans and what is left.
 
@@ -143,7 +220,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each other; other columns are dropped; an empty table gives an empty result.
     """
     src = _keyed(docs, id_col, F.col(text_col))
-    runs = cut(repeated_windows(docs, id_col, text_col, depth, digit).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")))
+    scratch = Scratch(docs.sparkSession)
+    found = repeated_windows(docs, scratch, id_col, text_col, depth, digit)
+    runs = cut(_merged(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))))
+    del found
+    scratch.drop()
     release(docs.sparkSession)
     joined = src.join(runs, ["k1", "k2"], "left").select("id", "text", "runs")
     span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
