@@ -5,25 +5,28 @@ content-defined sentence ends, so that a passage inside a longer paragraph is a
 Equal units (same words but for case of A-Z and white space) form a class. Classes get 16
 MinHash values of their five-word shingles in 8 bands of 2: at similarity 0.8 a pair shares no
 band in 3 of 10,000 cases. Colliding classes are joined as stars around the commonest class of
-a band, exact Jaccard decides, links are closed to components, and only classes of one band in
-different components are compared with each other after that. Of each component the first
-occurrence stays.
+a band and compared with it by exact Jaccard; of the others in a band only those pairs are
+compared that share something that sets them apart from it, which no similar pair lacks. Links
+are closed to components, of which the first occurrence stays.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, connected_components, cut, mix64, release
+from .common import Rolling, Scratch, connected_components, cut, mix64, release
 
 SHINGLE = 5
 MIN_WORDS, LONG = 20, 60
 BANDS, ROWS = 8, 2
 SIMILARITY = 0.8
 CHUNK = 1 << 16
+TOGETHER = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -53,7 +56,7 @@ def units_of(data: np.ndarray, starts, ends, hashes, line) -> tuple[np.ndarray,
     lo, hi = new, np.concatenate([new[1:], [len(starts)]])
     stop = np.isin(data[ends - 1], (33, 46, 63))  # ! . ?
     both = hashes.copy()
-    both[1:] += hashes[:-1] * _STEPS[0]
+    both[1:] += np.where(line[1:] == line[:-1], hashes[:-1], np.uint64(0)) * _STEPS[0]
     cut_after = stop & ((mix64(both) & np.uint64(3)) == 0)
     long = np.repeat(hi - lo > LONG, hi - lo)
     marks = np.flatnonzero(cut_after & long) + 1
@@ -66,17 +69,21 @@ def units_of(data: np.ndarray, starts, ends, hashes, line) -> tuple[np.ndarray,
     return a[keep], b[keep]
 
 
-def sketch(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """Class of every unit (hash of its words) and its band keys."""
+def classes_of(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, rolling: Rolling) -> np.ndarray:
+    """Class of every unit: hash of its words."""
+    rolling._grow(len(hashes))
+    run = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * rolling.up[: len(hashes)], out=run[1:])
+    return mix64(rolling.spans(run, a, b) + (b - a).astype(np.uint64))
+
+
+def band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A key for every unit and band."""
     n = len(hashes) - SHINGLE + 1
     sh = np.zeros(n, np.uint64)
     for j in range(SHINGLE):
         sh += hashes[j : j + n] * _STEPS[j]
     sh = mix64(sh)
-    rolling._grow(len(hashes))
-    run = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * rolling.up[: len(hashes)], out=run[1:])
-    cls = mix64(rolling.spans(run, a, b) + (b - a).astype(np.uint64))
     keys = np.empty((len(a), BANDS), np.uint64)
     last = b - SHINGLE + 1
     for band in range(BANDS):
@@ -91,7 +98,7 @@ def sketch(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, rolling: Rolling) -
             low = np.where(last > n - 1, np.minimum(low, v[n - 1]), low)
             key = mix64(key * _STEPS[1] + low)
         keys[:, band] = key
-    return cls, keys
+    return keys
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -100,6 +107,18 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _chunks(sizes: np.ndarray):
+    """(first row, rows) of runs of rows with about TOGETHER bytes; at least one row each."""
+    first, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and total + n > TOGETHER:
+            yield first, i - first
+            first, total = i, 0
+        total += n
+    if len(sizes):
+        yield first, len(sizes) - first
+
+
 def units(src: DataFrame, bands: bool) -> DataFrame:
     """``cls, k1, k2, id, lo, hi, n_words`` and, if asked, band keys ``b0..`` of every unit.
     lo and hi are byte offsets."""
@@ -110,21 +129,26 @@ def units(src: DataFrame, bands: bool) -> DataFrame:
         rolling = Rolling(9, fold_case=True)
         for b in batches:
             rows = []
-            ids, texts = b.column(2), b.column(3)
-            for i in range(b.num_rows):
-                data = np.frombuffer(texts[i].as_buffer(), np.uint8)
+            texts = b.column(3)
+            for first, size in _chunks(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+                parts = [texts[i].as_buffer() for i in range(first, first + size)]
+                # units don't cross lines, so texts joined by line ends are searched at once
+                begins = np.cumsum([0] + [p.size + 1 for p in parts])
+                data = np.frombuffer(b"\n".join(parts), np.uint8)
                 starts, ends, hashes, line = words_of(data, rolling)
                 if len(starts) < MIN_WORDS:
                     continue
                 x, y = units_of(data, starts, ends, hashes, line)
                 if not len(x):
                     continue
-                cls, keys = sketch(hashes, x, y, rolling)
-                rows.append((i, cls, starts[x], ends[y - 1], y - x, keys))
+                own = np.searchsorted(begins, starts[x], "right") - 1
+                lo, hi = starts[x] - begins[own], ends[y - 1] - begins[own]
+                rows.append((first + own, classes_of(hashes, x, y, rolling), lo, hi, y - x, band_keys(hashes, x, y) if bands else None))
             if not rows:
                 continue
-            at = np.concatenate([np.full(len(r[1]), r[0]) for r in rows])
+            ids = b.column(2)
             cat = lambda k: np.concatenate([r[k] for r in rows])
+            at = cat(0)
             cols = [pa.array(cat(1).view(np.int64)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), ids.take(pa.array(at)), pa.array(cat(2)), pa.array(cat(3)), pa.array(cat(4).astype(np.int32))]
             if bands:
                 keys = cat(5).view(np.int64)
@@ -159,6 +183,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return two.mapInArrow(run, "a long, b long")
 
 
+def _compared(stars: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``cls, centre, linked, apart``: exact similarity of members to their centre, and hashes
+    of the shingles that only one of both has, as many as ``_among`` needs."""
+    one = stars.join(texts.select("cls", F.col("unit").alias("t")), "cls")
+    two = one.join(texts.select(F.col("cls").alias("centre"), F.col("unit").alias("tc")), "centre").select("cls", "centre", "t", "tc")
+
+    def run(batches):
+        for b in batches:
+            known: dict = {}
+            linked, apart = [], []
+            for c, t, tc in zip(*(b.column(j).to_pylist() for j in (1, 2, 3))):
+                sc = known.get(c) or known.setdefault(c, _shingles(tc))
+                sx = _shingles(t)
+                both = len(sx & sc)
+                linked.append(both >= similarity * (len(sx) + len(sc) - both))
+                apart.append(sorted(xxhash.xxh32_intdigest(b" ".join(s)) >> 1 for s in sx ^ sc)[: int(len(sx) * (1 - similarity) / similarity) + 2])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(apart, pa.list_(pa.int32()))], ["cls", "centre", "linked", "apart"])
+
+    return two.mapInArrow(run, "cls long, centre long, linked boolean, apart array<int>")
+
+
+def _among(compared: DataFrame) -> DataFrame:
+    """``a, b``: members of one centre that may be similar although one isn't similar to it.
+
+    Let A and B be what sets the two apart from the centre. If the two are similar and one is
+    not similar to the centre, A and B have a common element: similar sets of sizes x and y
+    differ in at most (x + y) / 9 elements at 0.8, and others in more. By the prefix
+    principle the x / 4 + 1 smallest of A and y / 4 + 1 smallest of B do, too. So this join on
+    (centre, element) loses no pair, and near copies with edits of their own don't meet.
+    """
+    odd = compared.groupBy("centre").agg(F.count("*").alias("n"), F.min("linked").alias("all")).where("n > 1 and not all").select("centre")
+    rows = compared.join(odd, "centre").select("centre", "cls", "linked", F.explode("apart").alias("element"))
+    a = rows.select("centre", "element", F.col("cls").alias("a"), F.col("linked").alias("la"))
+    b = rows.select("centre", "element", F.col("cls").alias("b"), F.col("linked").alias("lb"))
+    return a.join(b, ["centre", "element"]).where("a < b and not (la and lb)").select("a", "b").distinct()
+
+
 def duplicate_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``k1, k2, id, lo, hi, n_words, component, removed``: every occurrence of a unit that is
     there twice or more, exactly or nearly.
@@ -170,42 +231,40 @@ def duplicate_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     src = _keyed(docs, id_col, text_col)
-    classes = cut(
+    scratch = Scratch(spark)
+    classes = scratch.table(
         units(src, True)
         .groupBy("cls")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("id", "k1", "k2", "lo", "hi")).alias("first"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
+        .agg(F.count("*").alias("copies"), F.min(F.struct("id", "k1", "k2", "lo", "hi")).alias("first"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS))),
+        "classes",
     )
-    release(spark)
+    # the centre of a band is the class with most copies
     banded = classes.select(F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band"), "cls", "copies")
     w = Window.partitionBy("band")
-    members = cut(
-        banded.select("band", "cls", F.count("*").over(w).alias("n"), F.max(F.struct("copies", "cls")).over(w)["cls"].alias("centre")).where("n > 1").drop("n")
-    )
-    release(spark)
+    centre = F.max(F.struct("copies", "cls")).over(w)["cls"].alias("centre")
+    members = scratch.table(banded.select("cls", F.count("*").over(w).alias("n"), centre).where("n > 1").drop("n"), "members")
+    owners = scratch.table(classes.select("cls", "copies", "first"), "owners")
+    scratch.drop(classes)
     # texts of the classes that collide, each from its first occurrence
-    asked = classes.join(members.select("cls").distinct(), "cls").groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
-    asked = asked.agg(F.collect_set(F.struct("cls", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"))).alias("parts"))
+    asked = owners.join(members.select("cls").distinct(), "cls").groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
+    asked = asked.agg(F.collect_list(F.struct("cls", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"))).alias("parts"))
     whole = src.select("k1", "k2", "text").join(asked, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    texts = cut(
-        whole.select("text", F.explode("parts").alias("p")).select("p.cls", F.expr("substring(text, cast(p.lo + 1 as int), cast(p.hi - p.lo as int))").alias("unit"))
-    )
-    release(spark)
-    stars = members.where("cls <> centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
-    edges = cut(_verified(stars, texts, similarity))
-    labels = connected_components(edges)
-    # a band whose members are in several components still may hide links between these
-    named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("label", "cls").alias("label"))
-    spread = named.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band")
-    named = named.join(spread, "band")
-    x = named.select("band", F.col("cls").alias("a"), F.col("label").alias("la"))
-    y = named.select("band", F.col("cls").alias("b"), F.col("label").alias("lb"))
-    cross = x.join(y, "band").where("a < b and la <> lb").select("a", "b").distinct()
-    edges = cut(edges.unionByName(_verified(cross.join(stars, ["a", "b"], "left_anti"), texts, similarity)))
-    labels = connected_components(edges)
+    # cut inside the document's row, so that a text is not copied for each of its units
+    part = F.transform("parts", lambda p: F.struct(p["cls"].alias("cls"), F.call_function("substring", "text", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")).alias("unit")))
+    texts = scratch.table(whole.select(F.inline(part)), "texts")
     release(spark)
-    found = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "copies", "first", F.coalesce("label", "cls").alias("component"))
+    stars = members.where("cls <> centre").select("cls", "centre").distinct()
+    compared = scratch.table(_compared(stars, texts, similarity), "compared")
+    scratch.drop(members)
+    pair = (F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b"))
+    near = compared.where("linked").select(*pair)
+    far = scratch.table(_among(compared).join(compared.select(*pair), ["a", "b"], "left_anti"), "far")
+    labels = connected_components(near.unionByName(_verified(far, texts, similarity)))
+    found = owners.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "copies", "first", F.coalesce("label", "cls").alias("component"))
     groups = found.groupBy("component").agg(F.sum("copies").alias("n"), F.min("first").alias("stays")).where("n > 1")
-    known = found.join(groups, "component").select("cls", "component", "stays")
+    known = cut(found.join(groups, "component").select("cls", "component", "stays"))
+    scratch.drop()
+    release(spark)
     here = units(src, False)
     stays = (F.col("k1") == F.col("stays.k1")) & (F.col("k2") == F.col("stays.k2")) & (F.col("lo") == F.col("stays.lo")) & (F.col("hi") == F.col("stays.hi"))
     return here.join(known, "cls").select("k1", "k2", "id", "lo", "hi", "n_words", "component", (~stays).alias("removed"))
