@@ -156,6 +156,14 @@ def test_suffix_dedup_periodic(spark):
     assert got == dict(enumerate(removed_spans([t.encode() for t in texts], 200)))
 
 
+def test_suffix_dedup_hot_digits(spark, docs, monkeypatch):
+    """The way for digits with very many contexts gives the same."""
+    key = lambda r: (r.id, bytes(r.kept))
+    want = sorted(map(key, suffix_dedup.remove_repeats(docs).collect()))
+    monkeypatch.setattr(suffix_dedup, "MOST", 1)
+    assert sorted(map(key, suffix_dedup.remove_repeats(docs).collect())) == want
+
+
 def test_license(spark):
     rows = [
         ("a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/x", "some words"), ("a/b/c/y", "Released under the MIT License.\nmore " + "words " * 50), ("z", None),
