@@ -19,6 +19,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 HEADER_COSINE = 0.6
 FILE_COSINE = 0.6
 
@@ -61,15 +63,16 @@ class Space:
             norm = math.sqrt(sum(x * x for x in raw.values()))
             self.vectors.append({t: x / norm for t, x in raw.items()})
         self.keys: set[str] = set()
+        piece = lambda t: max(re.split("[.-]", t), key=lambda p: (p not in STOP, len(p)))  # noqa: E731  the part of a term that is looked for
         for v in self.vectors:
-            left = sum(x * x for t, x in v.items() if t not in self.keys)
-            # long terms first: fewer texts have them by chance
-            for t in sorted(v, key=lambda t: (-len(t), t)):
+            left = sum(x * x for t, x in v.items() if piece(t) not in self.keys)
+            # long pieces first: fewer texts have them by chance
+            for t in sorted(v, key=lambda t: (-len(piece(t)), t)):
                 if left < threshold * threshold * 0.99:
                     break
-                if t not in self.keys:
-                    self.keys.add(t)
-                    left -= v[t] ** 2
+                if piece(t) not in self.keys:
+                    self.keys.add(piece(t))
+                    left -= sum(v[u] ** 2 for u in v if piece(u) == piece(t))
 
 
 def scan(
@@ -92,14 +95,13 @@ def scan(
     weights = spark.createDataFrame(
         [(t, k, space.names[k], w) for k, v in enumerate(space.vectors) for t, w in sorted(v.items())], "term string, template int, name string, weight double"
     )
-    low = F.lower("text")
-    hit = F.lit(False)
-    for key in sorted(space.keys):
-        hit = hit | F.contains(low, F.lit(key))
-    units = src.where(hit).select(
+    # one pass over a text and a set look-up, where a chain of conditions would lower-case it again for each
+    keys = F.array(*(F.lit(k) for k in sorted(space.keys)))
+    holds_key = lambda t: F.arrays_overlap(F.split(t, "[^a-z0-9]+"), keys)
+    units = src.where(holds_key(F.lower("text"))).select(
         "path", F.posexplode(F.concat(F.array(F.lower("text")), F.split(F.lower("text"), "\n", -1))).alias("unit", "part")
     )
-    units = units.where((F.col("unit") == 0) | units.part.rlike(TERM))
+    units = units.where((F.col("unit") == 0) | holds_key(F.col("part")))
     terms = units.select("path", "unit", F.explode(F.regexp_extract_all("part", F.lit(f"({TERM})"))).alias("term")).where(~F.col("term").isin(*STOP))
     tf = terms.groupBy("path", "unit", "term").agg(F.count("*").alias("tf"))
     tf = tf.join(F.broadcast(idf), "term", "left").select("path", "unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(space.absent))).alias("x"))
@@ -109,7 +111,7 @@ def scan(
     header = F.col("unit") > 0
     own = cosine.where(F.col("cosine") >= F.when(header, header_cosine).otherwise(file_cosine))
     best = own.groupBy("path", header.alias("header")).agg(F.min(F.struct((-F.col("cosine")).alias("less"), "name")).alias("b"))
-    best = best.select("path", "header", F.col("b.name").alias("license"), (-F.col("b.less")).alias("similarity"))
+    best = cut(best.select("path", "header", F.col("b.name").alias("license"), (-F.col("b.less")).alias("similarity")))
     parent = F.regexp_replace("path", "/?[^/]*$", "")
     directories = best.where("not header").select(parent.alias("dir"), F.struct((-F.col("similarity")).alias("less"), "path", "license").alias("f"))
     directories = directories.groupBy("dir").agg(F.min("f").alias("f"))
