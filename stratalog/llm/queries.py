@@ -79,7 +79,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage that is there twice or more, with its component and whether it goes."""
-    out = substring_dedup.duplicate_units(_table(spark, sf_dir, "documents"))
+    out = substring_dedup.duplicate_passages(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.col("lo").alias("first_byte"), F.col("hi").alias("end_byte"), "n_words", F.col("component").alias("component_id"), "removed")
 
 

@@ -8,6 +8,9 @@ band in 3 of 10,000 cases. Colliding classes are joined as stars around the comm
 a band and compared with it by exact Jaccard; of the others in a band only those pairs are
 compared that share something that sets them apart from it, which no similar pair lacks. Links
 are closed to components, of which the first occurrence stays.
+
+What is repeated word by word but is no unit (inside a paragraph, or across lines) is found by
+``shared_runs``; ``duplicate_passages`` has both.
 """
 
 from __future__ import annotations
@@ -270,10 +273,20 @@ def duplicate_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return here.join(known, "cls").select("k1", "k2", "id", "lo", "hi", "n_words", "component", (~stays).alias("removed"))
 
 
+def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``duplicate_units`` and, with components of their own, the ``shared_runs`` of words: exact
+    repeats of over 50 words that stand anywhere. A passage that is both has two rows."""
+    from .shared_runs import shared_runs
+
+    # in this order the larger tables of the units are gone when the runs are made
+    found = duplicate_units(docs, id_col, text_col, similarity)
+    return found.unionByName(shared_runs(docs, id_col, text_col))
+
+
 def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the removed units cut out of ``text_col``; all rows and columns stay, and
+    """``docs`` with the removed units and runs cut out of ``text_col``; all rows and columns stay, and
     a text that loses nothing is as it was. Columns ``_k1, _k2, _cuts`` are replaced."""
-    gone = duplicate_units(docs, id_col, text_col, similarity).where("removed").groupBy("k1", "k2")
+    gone = duplicate_passages(docs, id_col, text_col, similarity).where("removed").groupBy("k1", "k2")
     gone = cut(gone.agg(F.collect_list(F.struct("lo", "hi")).alias("_cuts")))
     docs = docs.drop("_k1", "_k2", "_cuts")
     keyed = docs.withColumns({"_k1": F.xxhash64(id_col), "_k2": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))})
