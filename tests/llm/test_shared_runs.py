@@ -91,3 +91,16 @@ def test_passages_are_removed(spark):
     clean = {r.doc_id: r.text for r in substring_dedup.remove_duplicates(d).collect()}
     assert [i for i in clean if inside in clean[i]] == [0] and [i for i in clean if block in clean[i]] == [3]
     assert all(clean[i] == t.replace(inside if i < 3 else block, "") for i, t in rows if i not in (0, 3))
+
+
+def test_passages_across_lines_are_found(spark):
+    """51 words in different lines of 60, and over a line end whose pieces are under 20 words."""
+    rng = random.Random(9)
+    passage = prose(rng, 51)
+    w = passage.split()
+    wrapped = "\n".join(" ".join(w[k : k + 17]) for k in (0, 17, 34))
+    rows = [(1, f"{passage} {prose(rng, 9)}"), (2, f"{prose(rng, 9)} {passage}"), (3, f"{prose(rng, 30)}\n{wrapped}\n{prose(rng, 30)}")]
+    d = spark.createDataFrame(rows, SCHEMA)
+    found = {(r.id, r.lo, r.hi, r.n_words, r.removed) for r in substring_dedup.duplicate_passages(d).collect()}
+    at = {i: t.index(passage if i < 3 else wrapped) for i, t in rows}
+    assert found == {(i, at[i], at[i] + len(passage), 51, i > 1) for i in at}
