@@ -128,6 +128,10 @@ def scored(docs: DataFrame, weights: list[int], text_col: str = "text", threshol
     Null and empty texts have no words and fail. Up to 2**31 words are told apart. Every row gets a verdict, repeated rows the
     same one; columns of ``docs`` with the names given here are replaced; an empty table stays
     empty.
+
+    ``kept`` holds a term that Spark takes for not deterministic and that is always true. It
+    keeps filters on ``kept`` above the projections here: pushed below them, all would become
+    one condition, in which lambdas compute the split text again for every element.
     """
     bins = len(weights)
     table = F.lit(np.array(weights, np.int64))
@@ -137,4 +141,4 @@ def scored(docs: DataFrame, weights: list[int], text_col: str = "text", threshol
     n = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
     d = d.withColumn("score", F.round(total / (n * UNIT), 6)).drop("_one", "_two")
     least = math.floor(threshold * UNIT) / UNIT
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least) & (F.monotonically_increasing_id() >= 0))
