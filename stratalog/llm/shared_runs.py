@@ -145,9 +145,11 @@ def shared_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = _keyed(docs, id_col, text_col)
     kind = src.schema["id"].dataType.simpleString()
     scratch = Scratch(spark)
-    found = src.select("k1", "k2", "id", "text").mapInArrow(_find(window), f"d long, c long, k1 long, k2 long, id {kind}, lo int, hi int, from int, to int")
+    shape = f"d long, c long, k1 long, k2 long, id {kind}, lo int, hi int, from int, to int"
+    found = scratch.table(src.select("k1", "k2", "id", "text").mapInArrow(_find(window), shape), "found")
     digits = found.groupBy("d").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("n > 1")
-    alive = scratch.table(found.join(digits.select("d", (F.col("c0") == F.col("c1")).alias("one")), "d").withColumn("g", F.xxhash64("d", "c")), "anchors")
+    alive = scratch.table(found.join(digits.select("d", (F.col("c0") == F.col("c1")).alias("one")), "d").withColumn("g", F.xxhash64("d", "c")).drop("d", "c"), "anchors")
+    scratch.drop(found)
     contexts = alive.groupBy("g", "one").agg(F.count("*").alias("n"), F.min(F.struct("id", "k1", "k2", "lo", "hi")).alias("w"))
     contexts = scratch.table(contexts.where("n > 1 or not one"), "contexts")
     first = (F.col("k1") == F.col("w.k1")) & (F.col("k2") == F.col("w.k2")) & (F.col("lo") == F.col("w.lo"))

@@ -1,16 +1,16 @@
 """Substring dedup of paragraphs by MinHash banding.
 
-Paragraphs (lines) of at least 20 words are units; paragraphs over 60 words are also cut at
-content-defined sentence ends, so that a passage inside a longer paragraph is a unit, too.
-Equal units (same words but for case of A-Z and white space) form a class. Classes get 16
-MinHash values of their five-word shingles in 8 bands of 2: at similarity 0.8 a pair shares no
-band in 3 of 10,000 cases. Colliding classes are joined as stars around the commonest class of
-a band and compared with it by exact Jaccard; of the others in a band only those pairs are
-compared that share something that sets them apart from it, which no similar pair lacks. Links
-are closed to components, of which the first occurrence stays.
+Paragraphs (lines) of at least 50 words are units; below that, one word changed inside takes a
+paragraph under a similarity of 0.8. Equal units (same words but for case of A-Z and white
+space) form a class. Classes get 16 MinHash values of their five-word shingles in 8 bands of 2:
+at similarity 0.8 a pair shares no band in 3 of 10,000 cases. Colliding classes are joined as
+stars around the commonest class of a band and compared with it by exact Jaccard; of the others
+in a band only those pairs are compared that share enough of what sets them apart from it, which
+no similar pair lacks. Links are closed to components, of which the first occurrence stays.
 
 What is repeated word by word but is no unit (inside a paragraph, or across lines) is found by
-``shared_runs``; ``duplicate_passages`` has both.
+``shared_runs``, which takes every 51-word window of a text as a paragraph and bands it by one
+MinHash; ``duplicate_passages`` has both.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, Scratch, connected_components, cut, mix64, release
 
 SHINGLE = 5
-MIN_WORDS, LONG = 20, 60
+MIN_WORDS = 50
 BANDS, ROWS = 8, 2
 SIMILARITY = 0.8
 CHUNK = 1 << 16
@@ -53,23 +53,12 @@ def words_of(data: np.ndarray, rolling: Rolling):
     return starts, ends, hashes, line
 
 
-def units_of(data: np.ndarray, starts, ends, hashes, line) -> tuple[np.ndarray, np.ndarray]:
-    """First word and word after the last of every unit."""
-    new = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    lo, hi = new, np.concatenate([new[1:], [len(starts)]])
-    stop = np.isin(data[ends - 1], (33, 46, 63))  # ! . ?
-    both = hashes.copy()
-    both[1:] += np.where(line[1:] == line[:-1], hashes[:-1], np.uint64(0)) * _STEPS[0]
-    cut_after = stop & ((mix64(both) & np.uint64(3)) == 0)
-    long = np.repeat(hi - lo > LONG, hi - lo)
-    marks = np.flatnonzero(cut_after & long) + 1
-    edge = np.unique(np.concatenate([lo, marks, [len(starts)]]))
-    a, b = edge[:-1], edge[1:]
-    whole = np.searchsorted(lo, a, "right") - 1  # the paragraph that a part is in
-    whole = (lo[whole] == a) & (hi[whole] == b)
-    a, b = np.concatenate([lo, a[~whole]]), np.concatenate([hi, b[~whole]])
-    keep = b - a >= MIN_WORDS
-    return a[keep], b[keep]
+def units_of(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and word after the last of every unit, from the line of every word."""
+    lo = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    hi = np.concatenate([lo[1:], [len(line)]])
+    keep = hi - lo >= MIN_WORDS
+    return lo[keep], hi[keep]
 
 
 def classes_of(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, rolling: Rolling) -> np.ndarray:
@@ -122,11 +111,11 @@ def _chunks(sizes: np.ndarray):
         yield first, len(sizes) - first
 
 
-def units(src: DataFrame, bands: bool) -> DataFrame:
-    """``cls, k1, k2, id, lo, hi, n_words`` and, if asked, band keys ``b0..`` of every unit.
-    lo and hi are byte offsets."""
+def units(src: DataFrame) -> DataFrame:
+    """``cls, k1, k2, id, lo, hi, n_words`` and band keys ``b0..`` of every unit. lo and hi are
+    byte offsets."""
     kind = src.schema["id"].dataType.simpleString()
-    schema = f"cls long, k1 long, k2 long, id {kind}, lo long, hi long, n_words int" + "".join(f", b{i} long" for i in range(BANDS)) * bands
+    schema = f"cls long, k1 long, k2 long, id {kind}, lo long, hi long, n_words int" + "".join(f", b{i} long" for i in range(BANDS))
 
     def run(batches):
         rolling = Rolling(9, fold_case=True)
@@ -141,21 +130,20 @@ def units(src: DataFrame, bands: bool) -> DataFrame:
                 starts, ends, hashes, line = words_of(data, rolling)
                 if len(starts) < MIN_WORDS:
                     continue
-                x, y = units_of(data, starts, ends, hashes, line)
+                x, y = units_of(line)
                 if not len(x):
                     continue
                 own = np.searchsorted(begins, starts[x], "right") - 1
                 lo, hi = starts[x] - begins[own], ends[y - 1] - begins[own]
-                rows.append((first + own, classes_of(hashes, x, y, rolling), lo, hi, y - x, band_keys(hashes, x, y) if bands else None))
+                rows.append((first + own, classes_of(hashes, x, y, rolling), lo, hi, y - x, band_keys(hashes, x, y)))
             if not rows:
                 continue
             ids = b.column(2)
             cat = lambda k: np.concatenate([r[k] for r in rows])
             at = cat(0)
             cols = [pa.array(cat(1).view(np.int64)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), ids.take(pa.array(at)), pa.array(cat(2)), pa.array(cat(3)), pa.array(cat(4).astype(np.int32))]
-            if bands:
-                keys = cat(5).view(np.int64)
-                cols += [pa.array(np.ascontiguousarray(keys[:, j])) for j in range(BANDS)]
+            keys = cat(5).view(np.int64)
+            cols += [pa.array(np.ascontiguousarray(keys[:, j])) for j in range(BANDS)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     names = [f.split()[0] for f in schema.split(", ")]
@@ -187,40 +175,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _compared(stars: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``cls, centre, linked, apart``: exact similarity of members to their centre, and hashes
-    of the shingles that only one of both has, as many as ``_among`` needs."""
+    """``cls, centre, linked, size, differ, apart``: exact similarity of members to their centre,
+    the number of their shingles, of the shingles that only one of both has, and hashes of
+    these, the member's own first, as many as ``_among`` needs."""
     one = stars.join(texts.select("cls", F.col("unit").alias("t")), "cls")
     two = one.join(texts.select(F.col("cls").alias("centre"), F.col("unit").alias("tc")), "centre").select("cls", "centre", "t", "tc")
+    digest = lambda shingles: sorted(xxhash.xxh32_intdigest(b" ".join(s)) >> 1 for s in shingles)
 
     def run(batches):
         for b in batches:
             known: dict = {}
-            linked, apart = [], []
+            linked, size, differ, apart = [], [], [], []
             for c, t, tc in zip(*(b.column(j).to_pylist() for j in (1, 2, 3))):
                 sc = known.get(c) or known.setdefault(c, _shingles(tc))
                 sx = _shingles(t)
                 both = len(sx & sc)
                 linked.append(both >= similarity * (len(sx) + len(sc) - both))
-                apart.append(sorted(xxhash.xxh32_intdigest(b" ".join(s)) >> 1 for s in sx ^ sc)[: int(len(sx) * (1 - similarity) / similarity) + 2])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_()), pa.array(apart, pa.list_(pa.int32()))], ["cls", "centre", "linked", "apart"])
+                size.append(len(sx))
+                differ.append(len(sx) + len(sc) - 2 * both)
+                apart.append((digest(sx - sc) + digest(sc - sx))[: int(len(sx) * (1 - similarity) / similarity) + 2])
+            cols = [pa.array(linked, pa.bool_()), pa.array(size, pa.int32()), pa.array(differ, pa.int32()), pa.array(apart, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["cls", "centre", "linked", "size", "differ", "apart"])
 
-    return two.mapInArrow(run, "cls long, centre long, linked boolean, apart array<int>")
+    return two.mapInArrow(run, "cls long, centre long, linked boolean, size int, differ int, apart array<int>")
 
 
-def _among(compared: DataFrame) -> DataFrame:
+def _among(compared: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: members of one centre that may be similar although one isn't similar to it.
 
-    Let A and B be what sets the two apart from the centre. If the two are similar and one is
-    not similar to the centre, A and B have a common element: similar sets of sizes x and y
-    differ in at most (x + y) / 9 elements at 0.8, and others in more. By the prefix
-    principle the x / 4 + 1 smallest of A and y / 4 + 1 smallest of B do, too. So this join on
-    (centre, element) loses no pair, and near copies with edits of their own don't meet.
+    Let A and B be what sets the two apart from the centre. Similar sets of sizes x and y differ
+    in at most d = (x + y) / 9 elements at 0.8, so A and B, of sizes p and q, have at least
+    o = (p + q - d) / 2 common elements, of which there is one: one of the two differs from the
+    centre by more than such sets do. In one order of all elements, the first common one then
+    is among the first p - o + 1 of A and q - o + 1 of B. Elements that the centre lacks come
+    first in the order, since near copies rarely share them. So this join on (centre, element)
+    loses no pair, and near copies with edits of their own don't meet.
     """
     odd = compared.groupBy("centre").agg(F.count("*").alias("n"), F.min("linked").alias("all")).where("n > 1 and not all").select("centre")
-    rows = compared.join(odd, "centre").select("centre", "cls", "linked", F.explode("apart").alias("element"))
-    a = rows.select("centre", "element", F.col("cls").alias("a"), F.col("linked").alias("la"))
-    b = rows.select("centre", "element", F.col("cls").alias("b"), F.col("linked").alias("lb"))
-    return a.join(b, ["centre", "element"]).where("a < b and not (la and lb)").select("a", "b").distinct()
+    rows = compared.join(odd, "centre").select("centre", "cls", "linked", "size", "differ", F.posexplode("apart").alias("i", "element"))
+    side = lambda k: rows.select("centre", "element", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "linked", "size", "differ", "i")))
+    pairs = side("a").join(side("b"), ["centre", "element"]).where("cls_a < cls_b and not (linked_a and linked_b)")
+    most = (F.col("size_a") + F.col("size_b")) * F.lit((1 - similarity) / (1 + similarity))
+    least = F.greatest((F.col("differ_a") + F.col("differ_b") - most) / 2 - 1e-6, F.lit(1.0))
+    early = (F.col("i_a") <= F.col("differ_a") - least) & (F.col("i_b") <= F.col("differ_b") - least)
+    return pairs.where(early).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
 
 def duplicate_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -235,19 +233,16 @@ def duplicate_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     src = _keyed(docs, id_col, text_col)
     scratch = Scratch(spark)
-    classes = scratch.table(
-        units(src, True)
-        .groupBy("cls")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("id", "k1", "k2", "lo", "hi")).alias("first"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS))),
-        "classes",
-    )
+    bands = [f"b{i}" for i in range(BANDS)]
+    here = scratch.table(units(src), "units")
+    first = F.min(F.struct("id", "k1", "k2", "lo", "hi")).alias("first")
+    # copies of a class have one set of keys
+    classes = scratch.table(here.groupBy("cls").agg(F.count("*").alias("copies"), first, *(F.min(b).alias(b) for b in bands)), "classes")
+    owners = classes.select("cls", "copies", "first")
+    banded = classes.select(F.explode(F.array(*bands)).alias("band"), "cls", "copies")
     # the centre of a band is the class with most copies
-    banded = classes.select(F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band"), "cls", "copies")
-    w = Window.partitionBy("band")
-    centre = F.max(F.struct("copies", "cls")).over(w)["cls"].alias("centre")
-    members = scratch.table(banded.select("cls", F.count("*").over(w).alias("n"), centre).where("n > 1").drop("n"), "members")
-    owners = scratch.table(classes.select("cls", "copies", "first"), "owners")
-    scratch.drop(classes)
+    centres = banded.groupBy("band").agg(F.count("*").alias("n"), F.max(F.struct("copies", "cls"))["cls"].alias("centre")).where("n > 1").drop("n")
+    members = scratch.table(banded.join(centres, "band").select("cls", "centre"), "members")
     # texts of the classes that collide, each from its first occurrence
     asked = owners.join(members.select("cls").distinct(), "cls").groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
     asked = asked.agg(F.collect_list(F.struct("cls", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"))).alias("parts"))
@@ -261,16 +256,16 @@ def duplicate_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop(members)
     pair = (F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b"))
     near = compared.where("linked").select(*pair)
-    far = scratch.table(_among(compared).join(compared.select(*pair), ["a", "b"], "left_anti"), "far")
+    far = scratch.table(_among(compared, similarity).join(compared.select(*pair), ["a", "b"], "left_anti"), "far")
     labels = connected_components(near.unionByName(_verified(far, texts, similarity)))
     found = owners.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "copies", "first", F.coalesce("label", "cls").alias("component"))
     groups = found.groupBy("component").agg(F.sum("copies").alias("n"), F.min("first").alias("stays")).where("n > 1")
-    known = cut(found.join(groups, "component").select("cls", "component", "stays"))
+    known = found.join(groups, "component").select("cls", "component", "stays")
+    stays = (F.col("k1") == F.col("stays.k1")) & (F.col("k2") == F.col("stays.k2")) & (F.col("lo") == F.col("stays.lo")) & (F.col("hi") == F.col("stays.hi"))
+    out = cut(here.drop(*bands).join(known, "cls").select("k1", "k2", "id", "lo", "hi", "n_words", "component", (~stays).alias("removed")))
     scratch.drop()
     release(spark)
-    here = units(src, False)
-    stays = (F.col("k1") == F.col("stays.k1")) & (F.col("k2") == F.col("stays.k2")) & (F.col("lo") == F.col("stays.lo")) & (F.col("hi") == F.col("stays.hi"))
-    return here.join(known, "cls").select("k1", "k2", "id", "lo", "hi", "n_words", "component", (~stays).alias("removed"))
+    return out
 
 
 def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
