@@ -176,11 +176,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 def _compared(stars: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """``cls, centre, linked, size, differ, apart``: exact similarity of members to their centre,
-    the number of their shingles, of the shingles that only one of both has, and hashes of
-    these, the member's own first, as many as ``_among`` needs."""
+    the number of their shingles, and the number and hashes of the shingles that only one of
+    both has."""
     one = stars.join(texts.select("cls", F.col("unit").alias("t")), "cls")
     two = one.join(texts.select(F.col("cls").alias("centre"), F.col("unit").alias("tc")), "centre").select("cls", "centre", "t", "tc")
-    digest = lambda shingles: sorted(xxhash.xxh32_intdigest(b" ".join(s)) >> 1 for s in shingles)
 
     def run(batches):
         for b in batches:
@@ -192,9 +191,9 @@ def _compared(stars: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 both = len(sx & sc)
                 linked.append(both >= similarity * (len(sx) + len(sc) - both))
                 size.append(len(sx))
-                differ.append(len(sx) + len(sc) - 2 * both)
-                apart.append((digest(sx - sc) + digest(sc - sx))[: int(len(sx) * (1 - similarity) / similarity) + 2])
-            cols = [pa.array(linked, pa.bool_()), pa.array(size, pa.int32()), pa.array(differ, pa.int32()), pa.array(apart, pa.list_(pa.int32()))]
+                apart.append({xxhash.xxh32_intdigest(b" ".join(s)) >> 1 for s in sx ^ sc})
+                differ.append(len(apart[-1]))
+            cols = [pa.array(linked, pa.bool_()), pa.array(size, pa.int32()), pa.array(differ, pa.int32()), pa.array(map(list, apart), pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["cls", "centre", "linked", "size", "differ", "apart"])
 
     return two.mapInArrow(run, "cls long, centre long, linked boolean, size int, differ int, apart array<int>")
@@ -207,16 +206,25 @@ def _among(compared: DataFrame, similarity: float) -> DataFrame:
     in at most d = (x + y) / 9 elements at 0.8, so A and B, of sizes p and q, have at least
     o = (p + q - d) / 2 common elements, of which there is one: one of the two differs from the
     centre by more than such sets do. In one order of all elements, the first common one then
-    is among the first p - o + 1 of A and q - o + 1 of B. Elements that the centre lacks come
-    first in the order, since near copies rarely share them. So this join on (centre, element)
-    loses no pair, and near copies with edits of their own don't meet.
+    is among the first p - o + 1 of A and q - o + 1 of B. The order is by how many members of
+    the centre have an element, rare ones first; an element of one member meets no other. So
+    this join on (centre, element) loses no pair, and near copies with edits of their own don't
+    meet.
     """
+    spread = (1 - similarity) / (1 + similarity)
     odd = compared.groupBy("centre").agg(F.count("*").alias("n"), F.min("linked").alias("all")).where("n > 1 and not all").select("centre")
-    rows = compared.join(odd, "centre").select("centre", "cls", "linked", "size", "differ", F.posexplode("apart").alias("i", "element"))
-    side = lambda k: rows.select("centre", "element", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "linked", "size", "differ", "i")))
+    own = ("centre", "cls", "linked", "size", "differ")
+    rows = compared.join(odd, "centre").select(*own, F.explode("apart").alias("element"))
+    times = rows.groupBy("centre", "element").agg(F.count("*").alias("times")).where("times > 1")
+    common = rows.join(times, ["centre", "element"]).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("times", "element"))).alias("common"))
+    alone = F.col("differ") - F.size("common")
+    # similar sets are at most 1 / similarity times as large, so these are all that can be first
+    first = F.floor(F.col("size") * F.lit((1 + 1 / similarity) * spread)) + 2 - alone
+    rows = common.select(*own, alone.alias("alone"), F.slice("common", F.lit(1), F.greatest(first, F.lit(0)).cast("int")).alias("common"))
+    rows = rows.select(*own, "alone", F.posexplode("common").alias("i", "e"))
+    side = lambda k: rows.select("centre", F.col("e.element").alias("element"), (F.col("i") + F.col("alone")).alias(f"i_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in own[1:]))
     pairs = side("a").join(side("b"), ["centre", "element"]).where("cls_a < cls_b and not (linked_a and linked_b)")
-    most = (F.col("size_a") + F.col("size_b")) * F.lit((1 - similarity) / (1 + similarity))
-    least = F.greatest((F.col("differ_a") + F.col("differ_b") - most) / 2 - 1e-6, F.lit(1.0))
+    least = F.greatest((F.col("differ_a") + F.col("differ_b") - (F.col("size_a") + F.col("size_b")) * F.lit(spread)) / 2 - 1e-6, F.lit(1.0))
     early = (F.col("i_a") <= F.col("differ_a") - least) & (F.col("i_b") <= F.col("differ_b") - least)
     return pairs.where(early).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
