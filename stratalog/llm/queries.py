@@ -45,16 +45,17 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards written to the shared folder, read back; size and checksum are of what is there."""
     path = shared_path(spark, "shards")
     sharding.write_shards(_table(spark, sf_dir, "documents"), path, 40)
-    out = sharding.with_slots(spark.read.parquet(path))
-    return out.select(
+    there = spark.read.parquet(path).select(
         "doc_id",
         sharding.size_of(F.col("text")).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
         "shard",
-        "slot",
+        "bucket",
+        "place",
         "grown_shard",
     )
+    return sharding.with_slots(there).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Pass 1 scatters records into memory-sized buckets: the shard of a record is the one with the
 largest seeded hash of (id, shard), and each shard has as many buckets as its bytes need, of
-which a second seeded hash picks one at random for every row, so that rows with one id spread.
-The scatter is one exchange whose files are the buckets. Pass 2 loads a bucket, puts it in a
+which a second seeded hash, of id and text, picks one, so that rows with one id spread and the
+layout of the input doesn't count. Equal rows that would fill a good part of a bucket are few,
+known and spread over all buckets. The scatter is one exchange whose files are the buckets. Pass 2 loads a bucket, puts it in a
 defined order, shuffles it by Fisher-Yates with a generator seeded by the bucket, and writes
 it. Slots follow from the counts of what has been written.
 """
@@ -16,8 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut
+
 OVERHEAD = 16
 BUCKET_BYTES = 64 << 20
+MOST_OFFSETS = 1_000_000
 
 
 def shard_of(key: Column, shards: int, seed: int = 42) -> Column:
@@ -45,16 +49,27 @@ def write_shards(
     Law ``key``: id and shard count decide the shard; rows with one id or a null id share a
     shard but spread over its buckets. Null texts have no bytes. An empty table writes no rows.
     Columns of those four names are replaced.
+
+    The result is the same for every layout of the input, unless equal rows hold over a quarter
+    of a bucket: their copies go to buckets by their place, as nothing else tells them apart.
     """
     added = ["shard", "grown_shard", "bucket", "place"]
     kept = docs.drop(*added)
-    total = kept.agg(F.sum(size_of(F.col(text_col)))).first()[0] or 0
+    size = size_of(F.col(text_col))
+    total = kept.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
+    record = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))
+    which = record
+    if buckets > 1:
+        # each holds a quarter of a bucket, so there are at most four times as many as buckets
+        heavy = kept.groupBy(record.alias("r")).agg(F.sum(size).alias("s"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("s") > bucket_bytes // 4))
+        if heavy := [r["r"] for r in heavy.select("r").collect()]:
+            which = F.when(record.isin(heavy), F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))).otherwise(record)
     marked = kept.select(
         "*",
         shard_of(F.col(id_col), shards, seed).cast("int").alias("shard"),
         shard_of(F.col(id_col), shards + 1, seed).cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(which, F.lit(buckets)).cast("int").alias("bucket"),
     )
     scattered = marked.repartitionById(shards * buckets, (F.col("shard") * buckets + F.col("bucket")).cast("int"))
     columns = kept.columns
@@ -89,8 +104,14 @@ def write_shards(
 
 def with_slots(written: DataFrame) -> DataFrame:
     """``written`` with ``slot``, gapless from 0 within each shard: the place in the bucket
-    after all rows of the shard's earlier buckets. Bucket counts, not rows, are windowed."""
+    after all rows of the shard's earlier buckets; a column of that name is replaced. Bucket
+    counts, not rows, are windowed. They are broadcast if a count has shown them to be at most
+    a million. An empty table stays empty."""
     counts = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return written.join(offsets, ["shard", "bucket"]).withColumn("slot", F.col("place") + F.col("offset"))
+    struct = F.struct(F.col("shard").alias("s"), F.col("bucket").alias("b"))
+    offsets = cut(counts.select(struct.alias("_at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")))
+    if offsets.count() <= MOST_OFFSETS:
+        offsets = F.broadcast(offsets)
+    rows = written.drop("slot", "_at", "_before").withColumn("_at", struct)
+    return rows.join(offsets, "_at").withColumn("slot", F.col("place") + F.col("_before")).drop("_at", "_before")

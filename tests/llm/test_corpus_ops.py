@@ -119,12 +119,24 @@ def test_sharding(request, spark, tmp_path, which):
         assert r.grown_shard in (r["shard"], 7)
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and max(by) < 7
     assert len({(r.doc_id, r["shard"]) for r in out}) == len({r.doc_id for r in out})
-    again = str(tmp_path / "again")
-    sharding.write_shards(d.repartition(3), again, 7, bucket_bytes=1 << 30)
-    once = str(tmp_path / "once")
-    sharding.write_shards(d.repartition(5), once, 7, bucket_bytes=1 << 30)
     pick = lambda p: sorted((r["shard"], r["slot"], *key(r)) for r in sharding.with_slots(spark.read.parquet(p)).collect())
-    assert pick(again) == pick(once)
+    for size in (1 << 30, 20_000):  # one bucket a shard, and several
+        sharding.write_shards(d.repartition(3), str(tmp_path / f"again{size}"), 7, bucket_bytes=size)
+        sharding.write_shards(d.repartition(5), str(tmp_path / f"once{size}"), 7, bucket_bytes=size)
+        assert pick(str(tmp_path / f"again{size}")) == pick(str(tmp_path / f"once{size}"))
+
+
+def test_sharding_odd_tables(spark, tmp_path):
+    """Clashing column names, an empty table, and one row that fills buckets."""
+    rows = [(i, f"text {i} " * 20) for i in range(30)] + [(7, "same " * 100)] * 200 + [(None, None)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("offset", "slot", "_at", "n", "s", "r")})
+    sharding.write_shards(d, str(tmp_path / "a"), 4, bucket_bytes=3000)
+    out = sharding.with_slots(spark.read.parquet(str(tmp_path / "a")))
+    assert out.where("offset = 1 and n = 1").count() == len(rows) and out.where("doc_id = 7").select("bucket").distinct().count() > 3
+    for r in out.groupBy("shard").agg(F.count("*").alias("c"), F.max("slot").alias("m"), F.countDistinct("slot").alias("k")).collect():
+        assert r.c == r.k == r.m + 1
+    sharding.write_shards(d.limit(0), str(tmp_path / "b"), 4)
+    assert sharding.with_slots(spark.read.schema(out.drop("slot").schema).parquet(str(tmp_path / "b"))).count() == 0
 
 
 def removed_spans(texts, depth):
