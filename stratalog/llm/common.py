@@ -6,9 +6,10 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,6 +44,12 @@ def release(spark: SparkSession) -> None:
     time.sleep(0.3)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once: a lambda's variable is, while a column that
+    a lambda refers to may be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class Scratch:
     """Tables of an operator's own in the shared folder: columnar and compressed, where a
     checkpoint keeps whole rows, and dropped as soon as the operator is done with them."""

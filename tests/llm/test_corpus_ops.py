@@ -189,6 +189,29 @@ def test_license(spark):
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_license_headers(spark):
+    """Notices within a line or over lines, tags, rows with one path, columns named as the operator's."""
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 3 of the License, or (at your option) any later version."
+    filler = "\n".join(f"some ordinary words {i}" for i in range(60))
+    rows = [
+        ("p/a", f"Copyright 2021 The Foo Authors. All rights reserved. Released under the MIT License. Have fun with it.\n{filler}"), ("p/b", f"{filler}\n{lgpl}\n{filler}"),
+        ("p/c", f"// SPDX-License-Identifier: Apache-2.0\n{filler}"), ("p/d", f"# SPDX-License-Identifier: MIT\n{filler}"), ("p/e", filler), ("p/e", f"x\nReleased under the MIT License.\n{filler}"),
+        ("p/e", f"y\nz\n{filler}"), ("p/f", None), ("p/g", "word " * 50_000), ("p/g", "word " * 50_000),
+    ]
+    d = spark.createDataFrame(rows, "path string, text string").withColumns({c: F.lit(1) for c in ("part", "header", "b", "unit", "dir")})
+    got = {r.path: (r.license, r.method) for r in license_scan.scan(d).collect()}
+    assert got == {"p/a": ("MIT", "header"), "p/b": ("LGPL-3.0", "header"), "p/c": ("Apache-2.0", "header"), "p/d": ("MIT", "header"), "p/e": ("MIT", "header"), "p/f": (None, "none"), "p/g": (None, "none")}
+
+
+def test_license_oracle(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = sorted(map(repr, con.sql(Q.ORACLE["op4_license_scan"]).select("doc_id, path, license, method, similarity").fetchall()))
+    assert sorted(repr(tuple(r)) for r in Q.op4_license_scan(spark, sf_dir).select("doc_id", "path", "license", "method", "similarity").collect()) == want
+
+
 def slow_units(docs_rows):
     """Lines of 50 words and more: words, and where each occurrence is; by regular expressions."""
     classes = collections.defaultdict(list)
