@@ -112,3 +112,17 @@ def lcs_run(a: list[str], b: list[str]) -> list[str]:
                     best, at = new[j], i
         row = new
     return a[at - best : at]
+
+
+def lcs_lengths(a: list[str], b: list[str]) -> tuple[int, int]:
+    """Words in the longest common subsequence, and in the longest common run."""
+    return len(lcs(a, b)), len(lcs_run(a, b))
+
+
+def most_tries(logs: list[str], assigned: int = 3) -> int:
+    """How often to ask again: once for one log of up to five words, or where no log has more
+    than two; else as assigned."""
+    sizes = [len(x.split(" ")) for x in logs or ()]
+    if not sizes or not ((len(sizes) == 1 and sizes[0] <= 5) or max(sizes) <= 2):
+        return assigned
+    return 1

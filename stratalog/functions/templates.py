@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WILD, tokens, wildcards
+from .text import WILD, let, tokens, wildcards
 
 _META = r"([\\.\[\]{}()*+?^$|])"
 MOST_WILDCARDS = 50
@@ -46,13 +46,18 @@ def constants_within(text: Column, template: Column) -> Column:
     return F.size(F.array_except(fixed, tokens(text))) == 0
 
 
-def parameters(text: Column, template: Column, most: int = 10) -> Column:
-    """What each wildcard stands for; none if the text doesn't match. Group counts vary by row,
-    so the first ``most`` groups are taken one by one."""
+# Parts what the groups of one match have caught; a character that Unicode leaves unassigned.
+_BETWEEN = "\uffff"
+
+
+def parameters(text: Column, template: Column) -> Column:
+    """What each wildcard stands for; none if the text doesn't match. The text is replaced by
+    its groups, as many as the template has, in one match. U+FFFF is no character of a text."""
     n = wildcards(F.regexp_replace(template, "<.{1,5}>", WILD))
     p = capturing(template)
-    got = F.array(*(F.when(n >= k, F.call_function("regexp_extract", text, F.concat(p, F.lit("|" + "()" * most)), F.lit(k))) for k in range(1, most + 1)))
-    return F.when(F.rlike(text, p) & (n > 0), F.slice(got, 1, F.least(n, F.lit(most)))).otherwise(F.array().cast("array<string>"))
+    groups = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit("$"), i.cast("string"))), _BETWEEN)
+    got = F.split(F.regexp_replace(text, p, groups), _BETWEEN, -1)
+    return F.when((n > 0) & F.rlike(text, p), got).otherwise(F.array().cast("array<string>"))
 
 
 def diagnosis(text: Column, template: Column) -> Column:
@@ -79,7 +84,8 @@ def more_abstract(x: Column, y: Column) -> Column:
 
 # Characters between which a template is cut into tokens for correction.
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
-DELIMITERS = "\\s,!;:=|\"'\\[\\](){}.\\-+@#$%&"
+PATH_DELIMITERS = "\\s,!;:=|\"'\\[\\](){}"
+DELIMITERS = PATH_DELIMITERS + ".\\-+@#$%&"
 
 
 def _joined(t: Column, mark: str) -> Column:
@@ -88,6 +94,14 @@ def _joined(t: Column, mark: str) -> Column:
     return F.regexp_replace(t, rf"<\*>(?:{quoted}<\*>)+", WILD)
 
 
+def _stable(t: Column, old: str, new: str) -> Column:
+    """Replaced until nothing is left to replace. Every round takes a character at least, so the
+    text's length bounds the rounds; texts without ``old`` have none."""
+    rounds = lambda v: F.sequence(F.lit(1), F.greatest(F.length(v), F.lit(1)))
+    swapped = lambda v: F.aggregate(rounds(v), v, lambda s, _: F.when(s.contains(old), F.replace(s, F.lit(old), F.lit(new))).otherwise(s))
+    return let(t, lambda v: F.when(v.contains(old), swapped(v)).otherwise(v))
+
+
 def _swap(t: Column, old: str, new: str, times: int = 1) -> Column:
     for _ in range(times):
         t = F.replace(t, F.lit(old), F.lit(new))
@@ -112,15 +126,15 @@ def corrected(template: Column) -> Column:
     t = F.regexp_replace(t, r" #<\*>#(?= )| #<\*>(?= )", " " + WILD)
     for mark in (":", "#", "/", "@", "."):
         t = _joined(t, mark)
-    for _ in range(4):
-        t = _swap(_swap(t, f'"{WILD}"', WILD), f"'{WILD}'", WILD)
+    t = _stable(t, f'"{WILD}"', WILD)
+    t = _stable(t, f"'{WILD}'", WILD)
     t = _joined(t, "")
     t = _swap(t, f"( {WILD}, {WILD})", f"({WILD}, {WILD})")
     t = _swap(t, "`", "")
     t = F.regexp_replace(t, r" <\*>[.,](?= )", " " + WILD)
     t = _joined(t, "+")
     t = _joined(t, "##")
-    t = _swap(t, f"#{WILD}#", WILD, 4)
+    t = _stable(t, f"#{WILD}#", WILD)
     t = _joined(t, "-")
     t = F.regexp_replace(t, r"(?: <\*>){2,}(?= )", " " + WILD)
     t = F.regexp_replace(t, r"(?: <\*>){2,}$", " " + WILD)
@@ -128,9 +142,8 @@ def corrected(template: Column) -> Column:
     t = _joined(t, ",")
     t = _swap(t, f"({WILD} {WILD})", f"({WILD})")
     t = F.regexp_replace(t, r" /<\*>(?= |$)", " " + WILD)
-    many = (F.length(t) - F.length(F.replace(t, F.lit("=<*>"), F.lit("")))) / 4 >= 3
-    return F.when(many, F.replace(t, F.lit("= "), F.lit("=<*> "))).otherwise(t)
-
+    many = lambda v: (F.length(v) - F.length(F.replace(v, F.lit("=<*>"), F.lit("")))) / 4 >= 3
+    return let(t, lambda v: F.when(many(v), F.replace(v, F.lit("= "), F.lit("=<*> "))).otherwise(v))
 
 
 def placeholders(template: Column) -> Column:
@@ -146,8 +159,8 @@ def too_general(template: Column) -> Column:
 def post_processed(template: Column) -> Column:
     """``struct(template, ok)``: placeholders, correction, and the rejection of templates that
     say nothing."""
-    t = corrected(placeholders(template))
-    return F.struct(F.when(too_general(t), "").otherwise(t).alias("template"), (~too_general(t)).alias("ok"))
+    told = lambda t: let(too_general(t), lambda none: F.struct(F.when(none, "").otherwise(t).alias("template"), (~none).alias("ok")))
+    return let(corrected(placeholders(template)), told)
 
 
 def valid(template: Column) -> Column:
@@ -158,16 +171,19 @@ def valid(template: Column) -> Column:
 ORACLE_WORDS = ("true", "false", "null", "root", "admin")
 
 
-def corrected_for_oracle(template: Column) -> Column:
-    """The smaller chain for ground-truth files: paths, digits, fixed words, wildcards within
-    tokens, and chains over ``.`` or nothing."""
+def corrected_for_oracle(template: Column, words: tuple[str, ...] = ()) -> Column:
+    """The smaller chain for ground-truth files: paths, digits, fixed words and ``words``,
+    wildcards within tokens, and chains over ``.`` or nothing. A path is a piece between path
+    delimiters that is names, each after a slash."""
     t = F.trim(F.regexp_replace(template, SPACE_RUN, " "))
-    words = F.transform(F.split(t, " "), lambda w: F.when(w.rlike("^/[^/]+(/[^/]*)*$|^([a-zA-Z0-9_.\\-]*/)+[a-zA-Z0-9_.\\-]+$") & ~w.contains(WILD), WILD).otherwise(w))
-    parts = F.regexp_extract_all(F.array_join(words, " "), F.lit(f"([^{DELIMITERS}]+|[{DELIMITERS}])"), F.lit(1))
+    pieces = F.regexp_extract_all(t, F.lit(f"([^{PATH_DELIMITERS}]+|[{PATH_DELIMITERS}])"), F.lit(1))
+    t = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike("^(/[^/]+)+$"), WILD).otherwise(x)), "")
+    parts = F.regexp_extract_all(t, F.lit(f"([^{DELIMITERS}]+|[{DELIMITERS}])"), F.lit(1))
+    fixed = [*ORACLE_WORDS, *(w.lower() for w in words)]
 
     def token(x: Column) -> Column:
-        x = F.when(F.lower(x).isin(*ORACLE_WORDS), WILD).otherwise(x)
-        x = F.when(x.rlike("^[0-9]+$"), WILD).otherwise(x)
+        x = F.when(F.lower(x).isin(*fixed), WILD).otherwise(x)
+        x = F.when(x.rlike(r"^\p{Nd}+$"), WILD).otherwise(x)
         return F.when(x.rlike(r"^[^\s/]*<\*>[^\s/]*$"), WILD).otherwise(x)
 
     t = F.array_join(F.transform(parts, token), "")
@@ -209,6 +225,88 @@ def mergeable_by_distance(a: Column, b: Column, jaccard_over: float = 0.8, edits
     return F.coalesce((edits <= 1) | (jaccard(a, b) > jaccard_over) | long, F.lit(False))
 
 
-def variable_token(token: Column) -> Column:
-    """A token that a parameter would look like: digits, a wildcard, a path, or a call."""
-    return token.contains(WILD) | token.rlike("[0-9]") | token.rlike(r"^[A-Za-z_]\w*\(.*\)$") | token.rlike("/.+/")
+# What the judges below take for letters.
+LETTER, CAPITAL = "A-Za-z", "A-Z"
+
+
+def _others(token: Column, known: str) -> Column:
+    """Distinct characters of a token that aren't ``known``; a wildcard is one such character."""
+    rest = F.regexp_replace(F.replace(token, F.lit(WILD), F.lit("\x00")), f"[{known}]", "")
+    return F.array_distinct(F.filter(F.split(rest, ""), lambda c: c != ""))
+
+
+def has_letters_only(token: Column) -> Column:
+    return ~token.rlike(f"[^{LETTER}]")
+
+
+def ends_in_colon(token: Column) -> Column:
+    return token.endswith(":")
+
+
+def is_bare_call(token: Column) -> Column:
+    return token.endswith("()")
+
+
+def brackets_wildcard(a: Column, b: Column) -> Column:
+    """One token is the wildcard in brackets, and the other has both brackets."""
+    return (a == f"({WILD})") & b.contains("(") & b.contains(")")
+
+
+def both_vary_naively(a: Column, b: Column) -> Column:
+    """Neither token consists of letters only."""
+    return ~has_letters_only(a) & ~has_letters_only(b)
+
+
+def looks_variable(token: Column) -> Column:
+    """Whether a token may be a parameter's value. Capitals alone may; other letters alone may
+    not, nor names with just dots or just underscores, labels, bare calls, or leaders."""
+    odd = _others(token, LETTER)
+    named = (F.size(odd) == 1) & (F.array_contains(odd, ".") | F.array_contains(odd, "_") | ends_in_colon(token))
+    call = (F.size(odd) == 2) & is_bare_call(token)
+    return (F.size(_others(token, CAPITAL)) == 0) | ((F.size(odd) > 0) & ~named & ~call & ~token.contains("....."))
+
+
+def both_look_variable(a: Column, b: Column) -> Column:
+    return looks_variable(a) & looks_variable(b)
+
+
+def both_vary(a: Column, b: Column) -> Column:
+    """The judgement on a pair: capitals alone vary together; else both need a character that is
+    no letter, and mustn't be of one of the fixed shapes both at once, or hold leaders."""
+    x, y = _others(a, LETTER), _others(b, LETTER)
+    one = lambda mark: F.array_contains(x, mark) & F.array_contains(y, mark)
+    alike = (F.size(x) == 1) & (F.size(y) == 1) & (one(".") | one("_") | (ends_in_colon(a) & ends_in_colon(b)))
+    calls = (F.size(x) == 2) & (F.size(y) == 2) & is_bare_call(a) & is_bare_call(b)
+    capitals = (F.size(_others(a, CAPITAL)) == 0) & (F.size(_others(b, CAPITAL)) == 0)
+    return capitals | ((F.size(x) > 0) & (F.size(y) > 0) & ~alike & ~calls & ~a.contains(".....") & ~b.contains("....."))
+
+
+def merged_variables(a: Column, b: Column) -> Column:
+    """Two tokens that vary as one: characters that differ become wildcards, what the longer has
+    more stays, wildcards in a row are one; null if they aren't to be merged."""
+    mark = "\x00"
+    x, y = (F.replace(t, F.lit(WILD), F.lit(mark)) for t in (a, b))
+    letters = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
+    pair = F.zip_with(letters(x), letters(y), lambda p, q: F.when(p.isNull() | q.isNull(), F.coalesce(p, q)).when(p == q, p).otherwise(F.lit(mark)))
+    out = F.replace(F.regexp_replace(F.array_join(pair, ""), f"{mark}+", mark), F.lit(mark), F.lit(WILD))
+    return F.when((a == WILD) | (b == WILD), F.lit(WILD)).when(both_vary(a, b), out)
+
+
+def merged_token_lists(a: Column, b: Column) -> Column:
+    """Two token lists as one: what they share at the start and at the end, up to a wildcard,
+    around one wildcard. Null unless one of them has two wildcards; the wildcard alone wins."""
+    def shared(x: Column, y: Column) -> Column:
+        n = F.least(F.size(x), F.size(y))
+        stop = lambda i: (F.get(x, i) != F.get(y, i)) | (F.get(x, i) == WILD)
+        at = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i >= n) | stop(i))
+        return F.coalesce(F.get(at, F.lit(0)), n)
+
+    many = lambda t: F.size(F.filter(t, lambda w: w == WILD)) > 1
+    wild = F.array(F.lit(WILD))
+
+    def around(i: Column) -> Column:
+        rest = lambda t: F.slice(t, i + 1, F.greatest(F.size(t) - i, F.lit(0)))
+        j = shared(F.reverse(rest(a)), F.reverse(rest(b)))
+        return let(j, lambda k: F.concat(F.slice(a, F.lit(1), i), wild, F.slice(a, F.size(a) - k + 1, k)))
+
+    return F.when(~many(a) & ~many(b), F.lit(None)).when((a == wild) | (b == wild), wild).otherwise(let(shared(a, b), around))

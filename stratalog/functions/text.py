@@ -5,7 +5,7 @@ Everything stays in the JVM. White space is what Python's ``str.split`` takes fo
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ WILD = "<*>"
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """White-space tokens; none for a blank text."""
     return F.array_remove(F.split(text, SPACE), "")
@@ -43,11 +48,11 @@ def mask_non_ascii(text: Column) -> Column:
 
 # Whole-string shapes of common parameters.
 COMMON_PARAMETERS = (
-    r"^(https?|ftp)://[^\s/$.?#].[^\s]*$",
-    r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$",
-    r"^(1[0-2]|0?[1-9]):[0-5][0-9]( ?[AaPp][Mm])?$",
-    r"^\+?\d{1,3}[-. ]?\(?\d{1,4}\)?[-. ]?\d{3,4}[-. ]?\d{3,4}$",
-    r"^\d{4}-\d{2}-\d{2}$",
+    r"^(https?:\/\/)?([a-z0-9]+([\-\.]{1}[a-z0-9]+)*\.[a-z]{2,5})(:[0-9]{1,5})?(\/.*)?$",
+    r"^(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)$",
+    r"^(1[0-2]|0?[1-9]):[0-5][0-9] (AM|PM)$",
+    r"^\+?[1-9]\d{1,14}$",
+    r"^(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])$",
 )
 
 
@@ -90,8 +95,9 @@ def jaccard_weighted(a: Column, b: Column, scale: int = 20) -> Column:
 
 
 def bad_word(word: Column) -> Column:
-    """A word with a letter, a digit and a symbol."""
-    return word.rlike("[0-9]") & word.rlike("[A-Za-z]") & word.rlike("[^0-9A-Za-z]")
+    """A word with an ASCII letter, a digit and a symbol. Letters and digits of any script and
+    the underscore are no symbols."""
+    return word.rlike(r"\p{Nd}") & word.rlike("[A-Za-z]") & word.rlike(r"[^\p{L}\p{N}_]")
 
 
 def good_words(words: Column) -> Column:
@@ -109,14 +115,16 @@ def hamming_words(a: Column, b: Column) -> Column:
 
 
 def word_letters(words: Column, alphabet: Column) -> Column:
-    """Words as one string with a code point for each distinct word of ``alphabet``."""
-    return F.array_join(F.transform(words, lambda w: F.char(F.array_position(alphabet, w).cast("int") + 191)), "")
+    """Words as one string with a code point from U+10000 on for each distinct word of
+    ``alphabet``, which leaves room for a million of them."""
+    point = lambda w: F.lpad(F.hex(F.array_position(alphabet, w) + 65535), 8, "0")
+    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(point(w)), "UTF-32")), "")
 
 
 def edit_words(a: Column, b: Column) -> Column:
-    """Levenshtein distance on words, by way of one letter per distinct word (up to 64)."""
+    """Levenshtein distance on words, by way of one letter per distinct word."""
     both = F.array_union(a, b)
-    return F.when(F.size(both) <= 64, F.levenshtein(word_letters(a, both), word_letters(b, both)))
+    return F.levenshtein(word_letters(a, both), word_letters(b, both))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -145,6 +153,14 @@ def split_message(text: Column) -> Column:
     return _merge_wild(F.array_remove(parts, ""))
 
 
+def split_message_singly(text: Column) -> Column:
+    """The same with every separator as a token of its own, so that of a run of separators those
+    that stay are tokens each."""
+    parts = F.regexp_extract_all(text, F.lit(rf"([^\s{_CLASS}]+|[\s{_CLASS}])"), F.lit(1))
+    parts = F.transform(parts, lambda t: F.when(t.contains(WILD), WILD).otherwise(F.regexp_replace(t, rf"[\s{_GONE}]", "")))
+    return _merge_wild(F.array_remove(parts, ""))
+
+
 def template_similarity(a: Column, b: Column) -> Column:
     """Shared tokens over all tokens less the shared, on message splits."""
     x, y = split_message(a), split_message(b)
@@ -171,6 +187,20 @@ def spread_score(similarities: Column, weight: float = 0.5) -> Column:
     return F.when(n == 0, 0.0).otherwise(weight * total / n + (1 - weight) * apart / (n * n))
 
 
+def spread_score_from_first(logs: Column, weight: float = 0.5) -> Column:
+    """weight times the mean similarity to the first text plus the rest times the mean absolute
+    difference of all pairs' similarities; 0 for fewer than two texts."""
+    first, every = similarities(logs, True), similarities(logs)
+    mean = F.aggregate(first, F.lit(0.0), lambda a, x: a + x) / F.size(first)
+    return F.when(F.size(logs) < 2, 0.0).otherwise(weight * mean + spread_score(every, 0.0) * (1 - weight))
+
+
+def similarity_matrix(logs: Column) -> Column:
+    """Word Jaccard of every text with every other as rows; 1 on the diagonal."""
+    at = F.transform(logs, lambda x: tokens(x))
+    return F.transform(at, lambda x, i: F.transform(at, lambda y, j: F.when(i == j, 1.0).otherwise(F.coalesce(jaccard(x, y), F.lit(0.0)))))
+
+
 def similarities(logs: Column, first_only: bool = False) -> Column:
     """Word Jaccard of the first text with each other one, or of all pairs in order."""
     at = F.sequence(F.lit(0), F.size(logs) - 1)

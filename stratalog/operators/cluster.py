@@ -83,15 +83,24 @@ def top_tokens(lines: DataFrame, k: int) -> DataFrame:
 
 
 def topk_clusters(lines: DataFrame, k: int = 3, least: int = 100) -> DataFrame:
-    """``line_id, cluster``: groups by the k top tokens with at least ``least`` lines, then by
-    k - 1 of what is left, and so on; the rest is one cluster, the empty one."""
-    rest = top_tokens(lines, k)
-    out = None
+    """``line_id, n, cluster`` of the non-blank lines: within every token count n, groups by the
+    k top tokens with at least ``least`` lines, then by k - 1 of what is left, and so on; the
+    rest of a count is one cluster, the null one. The vocabulary is that of the count. Lines
+    with fewer top tokens are grouped by those they have in every round."""
+    t = lines.select("line_id", tokens(F.col("content")).alias("t")).withColumn("n", F.size("t")).where("n > 0")
+    long = t.select("line_id", "n", F.posexplode("t").alias("pos", "tok")).where((F.length("tok") > 2) & ~F.lower("tok").isin(*STOP_WORDS))
+    vocab = long.groupBy("n", "tok").agg(F.count("*").alias("freq"))
+    once = long.groupBy("line_id", "n", "tok").agg(F.min("pos").alias("pos"))
+    ranked = once.join(vocab, ["n", "tok"]).groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("less"), "pos", "tok"))).alias("all"))
+    top = F.transform(F.slice("all", 1, k), lambda x: x["tok"])
+    rest = t.select("line_id", "n").join(ranked, "line_id", "left").select("line_id", "n", F.coalesce(top, F.array().cast("array<string>")).alias("top"))
+    # the rounds are decided on the few distinct keys with their counts, not on lines
+    keys = rest.groupBy("n", "top").agg(F.count("*").alias("c"))
+    done = None
     for j in range(k, 0, -1):
-        key = F.slice("top", 1, j)
-        big = rest.where(F.size("top") >= j).groupBy(key.alias("cluster")).agg(F.count("*").alias("c")).where(F.col("c") >= least).select("cluster")
-        hit = rest.where(F.size("top") >= j).withColumn("cluster", key).join(big, "cluster").select("line_id", "cluster")
-        out = hit if out is None else out.unionByName(hit)
-        rest = rest.join(hit.select("line_id"), "line_id", "left_anti")
-    left = lines.select("line_id").join(out.select("line_id"), "line_id", "left_anti")
-    return out.unionByName(left.select("line_id", F.array().cast("array<string>").alias("cluster")))
+        part = keys.withColumn("cluster", F.slice("top", 1, j))
+        big = part.groupBy("n", "cluster").agg(F.sum("c").alias("lines")).where(F.col("lines") >= least).select("n", "cluster")
+        hit = part.join(big, ["n", "cluster"]).select("n", "top", "cluster")
+        done = hit if done is None else done.unionByName(hit)
+        keys = keys.join(hit, ["n", "top"], "left_anti")
+    return rest.join(done, ["n", "top"], "left").select("line_id", "n", "cluster")

@@ -27,15 +27,19 @@ def _harmonic(a, b):
 
 
 def grouping(pairs: DataFrame, keep: DataFrame | None = None) -> DataFrame:
-    """``GA, PGA, RGA, FGA``; with ``keep`` (truth) only those truth templates count."""
+    """``GA, PGA, RGA, FGA``; with ``keep`` (truth) only those truth templates count, also, as
+    truths that are missed, those that no row has."""
     g = _groups(pairs)
     if keep is not None:
-        g = g.join(keep.select("truth").distinct(), "truth", "left_semi")
+        keep = keep.select("truth").dropna().distinct()
+        g = g.join(keep, "truth", "left_semi")
     right = (F.col("c") == F.col("ct")) & (F.col("c") == F.col("cp"))
     s = g.agg(
         F.sum(F.when(right, F.col("c")).otherwise(0)).alias("rows_right"), F.sum("c").alias("rows"),
         F.sum(right.cast("int")).alias("right"), F.countDistinct("pred").alias("preds"), F.countDistinct("truth").alias("truths"),
     )
+    if keep is not None:
+        s = s.drop("truths").join(F.broadcast(keep.agg(F.count("*").alias("truths"))), F.lit(True))
     s = s.select(
         F.coalesce(F.try_divide("rows_right", "rows"), F.lit(0.0)).alias("GA"),
         F.coalesce(F.try_divide("right", "preds"), F.lit(0.0)).alias("PGA"),
@@ -50,13 +54,13 @@ def parsing(pairs: DataFrame) -> DataFrame:
 
 
 def templates(pairs: DataFrame, keep: DataFrame | None = None) -> DataFrame:
-    """``identified_templates, ground_templates, PTA, RTA, FTA``."""
+    """``identified_templates, ground_templates, PTA, RTA, FTA``; with ``keep`` (truth) the ground
+    templates are all of it, whether a row has them or not."""
     c = clean(pairs).groupBy("truth", "pred").agg(F.count("*").alias("c"))
     p = c.groupBy("pred").agg(F.min("truth").alias("lo"), F.max("truth").alias("hi"))
     truths = c.select("truth").distinct()
     if keep is not None:
-        k = keep.select("truth").distinct()
-        truths = truths.join(k, "truth", "left_semi")
+        truths = k = keep.select("truth").dropna().distinct()
         p = p.join(c.join(k, "truth", "left_semi").select("pred").distinct(), "pred", "left_semi")
     s = p.agg(F.count("*").alias("identified_templates"), F.coalesce(F.sum(((F.col("lo") == F.col("pred")) & (F.col("hi") == F.col("pred"))).cast("int")), F.lit(0)).alias("right"))
     s = s.join(F.broadcast(truths.agg(F.count("*").alias("ground_templates"))), F.lit(True))

@@ -132,20 +132,26 @@ def vocab_topk(spark, sf_dir):
     return cluster.top_tokens(doc_lines(spark, sf_dir), 3).select("line_id", F.array_join("top", " ").alias("top"))
 
 
+_TOP_OF_LENGTH = f"""lines_ AS (SELECT line_id, len({TOK.format('content')}) AS n, {TOK.format('content')} AS t FROM docs),
+    words AS (SELECT line_id, n, unnest(t) AS tok, unnest(range(len(t))) AS pos FROM lines_),
+    good AS (SELECT * FROM words WHERE length(tok) > 2 AND lower(tok) NOT IN ({_STOP})),
+    freqs AS (SELECT n, tok, count(*) AS freq FROM good GROUP BY ALL),
+    tops AS (SELECT line_id, list(tok ORDER BY freq DESC, pos)[1:3] AS top FROM (SELECT line_id, n, tok, min(pos) AS pos FROM good GROUP BY ALL) JOIN freqs USING (n, tok) GROUP BY line_id),
+    r4 AS (SELECT line_id, n, coalesce(top, CAST([] AS VARCHAR[])) AS top FROM lines_ LEFT JOIN tops USING (line_id))"""
+
+
 def _rounds(least: int) -> str:
-    out, rest = [], "top"
+    out = []
     for j in (3, 2, 1):
-        out.append(f"""g{j} AS (SELECT top[1:{j}] AS c FROM {rest} WHERE len(top) >= {j} GROUP BY 1 HAVING count(*) >= {least}),
-            h{j} AS (SELECT line_id, top[1:{j}] AS c FROM {rest} WHERE len(top) >= {j} AND top[1:{j}] IN (SELECT c FROM g{j})),
-            r{j} AS (SELECT * FROM {rest} WHERE line_id NOT IN (SELECT line_id FROM h{j}))""")
-        rest = f"r{j}"
+        out.append(f"""h{j} AS (SELECT line_id, n, top[1:{j}] AS c FROM r{j + 1} QUALIFY count(*) OVER (PARTITION BY n, top[1:{j}]) >= {least}),
+            r{j} AS (SELECT * FROM r{j + 1} WHERE line_id NOT IN (SELECT line_id FROM h{j}))""")
     return ", ".join(out)
 
 
-@query(f"""WITH {DOCS}, {_VOCAB}, {_TOP}, {_rounds(100)}, h AS (SELECT * FROM h3 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h1)
-    SELECT line_id, array_to_string(c, ' ') AS cluster FROM h UNION ALL SELECT line_id, '' FROM docs WHERE line_id NOT IN (SELECT line_id FROM h)""")
+@query(f"""WITH {DOCS}, {_TOP_OF_LENGTH}, {_rounds(100)}, h AS (SELECT * FROM h3 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h1)
+    SELECT line_id, CAST(n AS INT) AS n, array_to_string(c, ' ') AS cluster FROM h UNION ALL SELECT line_id, CAST(n AS INT), NULL FROM r1""")
 def topk_cluster(spark, sf_dir):
-    return cluster.topk_clusters(doc_lines(spark, sf_dir)).select("line_id", F.array_join("cluster", " ").alias("cluster"))
+    return cluster.topk_clusters(doc_lines(spark, sf_dir)).select("line_id", "n", F.array_join("cluster", " ").alias("cluster"))
 
 
 _CONTENTS = f"u AS (SELECT content, count(*) AS cnt, min(line_id) AS first_line, {TOK.format('content')} AS t FROM docs GROUP BY content)"
@@ -258,7 +264,7 @@ _pair_query(
     "jaccard_weighted", lambda a, b: F.round(X.jaccard_weighted(a, b), 9),
     f"round(CAST({_INTER} AS DOUBLE) / {_UNION} * (len(ta) * len(tb) / 400.0) * (len(ta) * len(tb) / 400.0), 9)",
 )
-_GOOD = "list_filter({}, w -> NOT (regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]') AND regexp_matches(w, '[^0-9A-Za-z]')))"
+_GOOD = "list_filter({}, w -> NOT (regexp_matches(w, '\\p{{Nd}}') AND regexp_matches(w, '[A-Za-z]') AND regexp_matches(w, '[^\\p{{L}}\\p{{N}}_]')))"
 _pair_query(
     "jaccard_masked", lambda a, b: F.round(X.jaccard(X.good_words(a), X.good_words(b)), 9),
     f"round(CAST(len(list_intersect({_GOOD.format('ta')}, {_GOOD.format('tb')})) AS DOUBLE) / len(list_distinct(list_concat({_GOOD.format('ta')}, {_GOOD.format('tb')}))), 9)",
@@ -384,8 +390,9 @@ def validate_template(spark, sf_dir):
     return event_lines(spark, sf_dir).select("line_id", T.valid(t).alias("valid"))
 
 
-_ORACLE_CHAIN = """regexp_replace(regexp_replace(array_to_string(list_transform(regexp_extract_all(array_to_string(list_transform(string_split(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' '),
-    w -> CASE WHEN regexp_matches(w, '^/[^/]+(/[^/]*)*$|^([a-zA-Z0-9_.\\-]*/)+[a-zA-Z0-9_.\\-]+$') AND NOT contains(w, '<*>') THEN '<*>' ELSE w END), ' '),
+_ORACLE_CHAIN = """regexp_replace(regexp_replace(array_to_string(list_transform(regexp_extract_all(array_to_string(list_transform(
+    regexp_extract_all(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '([^\\s,!;:=|"''\\[\\](){{}}]+|[\\s,!;:=|"''\\[\\](){{}}])', 1),
+    w -> CASE WHEN regexp_matches(w, '^(/[^/]+)+$') THEN '<*>' ELSE w END), ''),
     '([^\\s,!;:=|"''\\[\\](){{}}.\\-+@#$%&]+|[\\s,!;:=|"''\\[\\](){{}}.\\-+@#$%&])', 1),
     x -> CASE WHEN lower(x) IN ('true', 'false', 'null', 'root', 'admin') OR regexp_full_match(x, '[0-9]+') THEN '<*>' ELSE regexp_replace(x, '^[^\\s/]*<\\*>[^\\s/]*$', '<*>') END), ''),
     '<\\*>(\\.<\\*>)+', '<*>', 'g'), '<\\*>(<\\*>)+', '<*>', 'g')"""
@@ -485,13 +492,18 @@ def template_merge_pairs(spark, sf_dir):
     return p.select("new", "known", T.merged(F.col("new"), F.col("known")).alias("merged"))
 
 
-@query("""WITH a AS (SELECT o_custkey, list(o_orderkey) AS x FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey, list(o_orderkey) AS y FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
-    SELECT o_custkey, array_to_string(list_sort(list_distinct(list_concat(x, y))), ',') AS ids FROM a JOIN b USING (o_custkey)""")
+@query("""WITH a AS (SELECT o_custkey, list(o_orderkey) AS x FROM orders GROUP BY 1),
+        b AS (SELECT o_custkey, list(l_partkey) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
+    SELECT o_custkey, array_to_string(list_sort(list_distinct(list_concat(coalesce(x, []), coalesce(y, [])))), ',') AS ids FROM a FULL JOIN b USING (o_custkey)""")
 def sorted_index_merge(spark, sf_dir):
+    """Two lists of numbers of a customer, its orders and the parts in them, as one sorted set."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    a = o.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("x"))
-    b = o.where("o_orderkey % 3 = 0").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("y"))
-    return a.join(b, "o_custkey").select("o_custkey", F.array_join(F.array_sort(F.array_union("x", "y")), ",").alias("ids"))
+    parts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").join(o, "o_orderkey")
+    a = o.groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("x"))
+    b = parts.groupBy("o_custkey").agg(F.collect_list("l_partkey").alias("y"))
+    none = F.array().cast("array<bigint>")
+    both = F.array_union(F.coalesce("x", none), F.coalesce("y", none))
+    return a.join(b, "o_custkey", "full").select("o_custkey", F.array_join(F.array_sort(both), ",").alias("ids"))
 
 
 # ---- proposer replies -------------------------------------------------------------------------

@@ -23,6 +23,10 @@ EVENT_SQL = """
     FROM events"""
 
 
+# More lines than a text of 2 GB can hold.
+LINES_OF_A_DOCUMENT = 1 << 31
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,10 +39,10 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_id, content``: non-blank lines of documents."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "content"))
-    return d.where(F.trim("content") != "").select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("line_id"), "content")
+    return d.where(F.trim("content") != "").select((F.col("doc_id") * LINES_OF_A_DOCUMENT + F.col("pos")).alias("line_id"), "content")
 
 
-DOC_SQL = """
-    SELECT doc_id * 1000000 + pos - 1 AS line_id, content
+DOC_SQL = f"""
+    SELECT doc_id * {LINES_OF_A_DOCUMENT} + pos - 1 AS line_id, content
     FROM (SELECT doc_id, unnest(l) AS content, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
     WHERE trim(content) <> ''"""

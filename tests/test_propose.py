@@ -57,5 +57,5 @@ def test_registry():
     line = "Jun 14 15:16:01 combo sshd(pam_unix)[19939]: authentication failure"
     f = DATASETS["Linux"].format()
     got = re.match(f.pattern, line)
-    assert {n: got[g] for n, g in f.fields}["PID"] == "19939"
+    assert {n: got[g] for n, g, _ in f.fields}["PID"] == "19939"
     assert Config("Apache").masks() and not Config("Apache", mask="add").masks()
