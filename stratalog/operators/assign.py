@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.templates import ends_agree, pattern
+from ..functions.text import WILD, tokens
+from ..plans.lineage import cut
 
 BROADCAST_ROWS = 100_000
 
@@ -14,15 +16,23 @@ def first_match(contents: DataFrame, templates: DataFrame) -> DataFrame:
     """``content, template``: of the templates with a content's key ``n`` that match it, the one
     with the smallest ``seq``. Contents without a match are left out.
 
-    The join is on the key; ends are compared before the pattern. The templates are broadcast
-    only after a count has shown that they are few; else Spark joins by sorting.
+    The join is on the key; ends are compared before the pattern. The templates are written
+    once, and broadcast only if a count shows that they are few; else Spark joins by sorting, on
+    the key and on the first token where a template has a constant one, so that not all lines
+    and templates of one length meet in one task.
     """
-    known = templates.select("n", "seq", "template", pattern(F.col("template")).alias("p"))
+    known = cut(templates.select("n", "seq", "template", pattern(F.col("template")).alias("p")))
     if known.count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
-    hit = contents.select("content", "n").join(known, "n").where(ends_agree(F.col("content"), F.col("template")) & F.rlike("content", "p"))
+        hit = contents.select("content", "n").join(F.broadcast(known), "n")
+    else:
+        start = F.get(tokens(F.col("template")), F.lit(0))
+        known = known.withColumn("start", F.when(start.contains(WILD), F.lit(None)).otherwise(start))
+        lines = contents.select("content", "n", F.get(tokens(F.col("content")), F.lit(0)).alias("start"))
+        fixed = lines.join(known.where("start is not null"), ["n", "start"]).drop("start")
+        hit = fixed.unionByName(lines.drop("start").join(known.where("start is null").drop("start"), "n"))
+    hit = hit.where(ends_agree(F.col("content"), F.col("template")) & F.rlike("content", "p"))
     best = hit.groupBy("content").agg(F.min("seq").alias("seq"))
-    return best.join(templates.select("seq", "template"), "seq").select("content", "template")
+    return best.join(known.select("seq", "template"), "seq").select("content", "template")
 
 
 def unmatched(contents: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -45,8 +55,6 @@ def catalog(numbered: DataFrame) -> DataFrame:
 
 def consensus(clustered: DataFrame) -> DataFrame:
     """``cid2, cid1, template``: tokens on which a cluster agrees, wildcards elsewhere."""
-    from ..functions.text import tokens
-
     at = clustered.select("cid1", "cid2", F.posexplode(tokens(F.col("content"))).alias("pos", "tok"))
     agreed = at.groupBy("cid1", "cid2", "pos").agg(F.min("tok").alias("lo"), F.max("tok").alias("hi"))
     part = F.struct("pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("<*>").alias("tok"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..plans.lineage import cut
 
 # Words that say nothing about an event.
 STOP_WORDS = (
@@ -25,19 +26,24 @@ def distinct_contents(lines: DataFrame) -> DataFrame:
 
 
 def positional_frequency(contents: DataFrame) -> DataFrame:
-    """``content, n, pos, tok, freq``: how many distinct contents of a length have a token at a
-    position. The counts are hash aggregates, joined back."""
-    long = contents.select("content", "n", F.posexplode("tokens").alias("pos", "tok"))
+    """``key, n, pos, tok, freq``: how many distinct contents of a length have a token at a
+    position. The counts are hash aggregates, joined back. ``key`` is a content's 128-bit
+    digest: a line's text isn't repeated for each of its tokens."""
+    long = contents.select(_digest(), "n", F.posexplode("tokens").alias("pos", "tok"))
     freq = long.groupBy("n", "pos", "tok").agg(F.count("*").alias("freq"))
-    return long.join(freq, ["n", "pos", "tok"]).select("content", "n", "pos", "tok", "freq")
+    return long.join(freq, ["n", "pos", "tok"]).select("key", "n", "pos", "tok", "freq")
+
+
+def _digest() -> Column:
+    return F.unhex(F.md5(F.col("content").cast("binary"))).alias("key")
 
 
 def features(contents: DataFrame) -> DataFrame:
     """``content, n, feature``: tokens whose frequency is the commonest in the line (ties: the
     larger; if it is 1: the largest frequency)."""
     f = positional_frequency(contents)
-    per = f.groupBy("content", "n", "freq").agg(F.count("*").alias("k"), F.collect_list(F.struct("pos", "tok")).alias("at"))
-    chosen = per.groupBy("content", "n").agg(
+    per = f.groupBy("key", "n", "freq").agg(F.count("*").alias("k"), F.collect_list(F.struct("pos", "tok")).alias("at"))
+    chosen = per.groupBy("key", "n").agg(
         F.max_by("freq", F.struct("k", "freq")).alias("mode"),
         F.max("freq").alias("top"),
         F.collect_list(F.struct("freq", "at")).alias("parts"),
@@ -45,7 +51,8 @@ def features(contents: DataFrame) -> DataFrame:
     want = F.when(F.col("mode") == 1, F.col("top")).otherwise(F.col("mode"))
     chosen = chosen.withColumn("want", want)
     at = F.flatten(F.transform(F.filter("parts", lambda p: p["freq"] == F.col("want")), lambda p: p["at"]))
-    return chosen.select("content", "n", F.transform(F.sort_array(at), lambda x: x["tok"]).alias("feature"))
+    found = chosen.select("key", F.transform(F.sort_array(at), lambda x: x["tok"]).alias("feature"))
+    return contents.select(_digest(), "content", "n").join(found, "key").select("content", "n", "feature")
 
 
 def numbered(feature_rows: DataFrame) -> DataFrame:
@@ -63,9 +70,10 @@ def numbered(feature_rows: DataFrame) -> DataFrame:
 
 
 def clusters(lines: DataFrame) -> DataFrame:
-    """``content, n, feature, cid1, cid2, cnt, first_line`` of ``lines`` (line_id, content)."""
-    contents = distinct_contents(lines)
-    return numbered(features(contents)).join(contents.select("content", "cnt", "first_line"), "content")
+    """``content, n, feature, cid1, cid2, cnt, first_line`` of ``lines`` (line_id, content). The
+    distinct contents and their features are written once, as several steps read them."""
+    contents = cut(distinct_contents(lines))
+    return numbered(cut(features(contents))).join(contents.select("content", "cnt", "first_line"), "content")
 
 
 def vocabulary(lines: DataFrame) -> DataFrame:

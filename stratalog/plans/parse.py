@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.templates import post_processed, valid
 from ..functions.text import WILD, mask
-from ..operators import assign, cluster
+from ..operators import assign, cluster, sampling
+from .lineage import cut
 
 Proposer = Callable[[list[str]], str]
 
@@ -35,14 +36,36 @@ def batch(lines: DataFrame, masks: tuple[str, ...] = ()) -> DataFrame:
     content takes the first template of its token count that matches, clusters with most lines
     first; what none matches is its own template, blank lines have the empty one."""
     masked = lines.select("line_id", F.col("content").alias("raw"), mask(F.col("content"), masks).alias("content"))
-    clustered = cluster.clusters(masked.select("line_id", "content"))
-    found = assign.first_match(clustered.select("content", "n"), batch_templates(clustered))
+    clustered = cut(cluster.clusters(masked.select("line_id", "content")).drop("feature"))
+    return _assigned(masked, assign.first_match(clustered.select("content", "n"), batch_templates(clustered)))
+
+
+def _assigned(masked: DataFrame, found: DataFrame) -> DataFrame:
     blank = F.trim(F.regexp_replace("content", r"(?U)[\s\x1c-\x1f]+", " ")) == ""
     return masked.join(found, "content", "left").select(
         "line_id", F.col("raw").alias("content"), F.when(blank, "").otherwise(F.coalesce("template", "content")).alias("template")
     )
 
 
+def batch_with_trace(lines: DataFrame, masks: tuple[str, ...] = (), samples: int = 5) -> tuple[DataFrame, DataFrame]:
+    """What ``batch`` returns, and a trace with a row for every cluster in the order in which
+    templates are tried: ``iter, cluster_id, logs_to_query, llm_template, template,
+    update_success``. The logs are a diverse sample; ``template`` is null where no content took
+    the cluster's template."""
+    masked = lines.select("line_id", F.col("content").alias("raw"), mask(F.col("content"), masks).alias("content"))
+    clustered = cut(cluster.clusters(masked.select("line_id", "content")).drop("feature"))
+    known = cut(batch_templates(clustered))
+    found = cut(assign.first_match(clustered.select("content", "n"), known))
+    picks = sampling.diverse(clustered.select("cid2", "content", "first_line"), samples)
+    logs = picks.groupBy("cid2").agg(F.transform(F.sort_array(F.collect_list(F.struct("pick", "content"))), lambda x: x["content"]).alias("logs_to_query"))
+    used = found.select("template").distinct().withColumn("taken", F.lit(True))
+    ranks = known.select("cid2", F.row_number().over(Window.orderBy("seq")).alias("iter"))
+    trace = known.join(ranks, "cid2").join(logs, "cid2").join(assign.consensus(clustered).select("cid2", F.col("template").alias("llm_template")), "cid2").join(used, "template", "left")
+    took = F.coalesce("taken", F.lit(False))
+    trace = trace.select("iter", F.col("cid2").alias("cluster_id"), "logs_to_query", "llm_template", F.when(took, F.col("template")).alias("template"), took.alias("update_success"))
+    return _assigned(masked, found), trace
+
+
 def agree(logs: list[str]) -> str:
     """The deterministic proposer: tokens on which all logs agree, wildcards elsewhere."""
     rows = [x.split() for x in logs]

@@ -88,6 +88,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 CSV_OUT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 STRUCTURED = T.StructType([T.StructField("LineId", T.LongType()), T.StructField("Content", T.StringType()), T.StructField("EventId", T.StringType()), T.StructField("EventTemplate", T.StringType())])
 TEMPLATES = T.StructType([T.StructField("EventId", T.StringType()), T.StructField("EventTemplate", T.StringType())])
+SUMMARY = "Dataset string, identified_templates long, ground_templates long, GA double, PA double, FGA double, PTA double, RTA double, FTA double"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, tolerant: bool = False, line_breaks: bool = False) -> DataFrame:
@@ -101,6 +102,11 @@ def read_structured(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, STRUCTURED)
 
 
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """``EventId, EventTemplate`` of a catalogue; further columns, such as counts, are left out."""
+    return spark.read.option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(path).select(*TEMPLATES.names)
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
