@@ -3,27 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
-from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; only where
-    it is unset (tests on one machine) a temporary folder is made and set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalog-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+from ..functions.text import let as let
+from ..plans.lineage import cut, shared_dir
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -31,12 +19,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there (reliable checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Let the driver's JVM notice finished jobs, so that executors drop their shuffle files."""
     gc.collect()
@@ -44,12 +26,6 @@ def release(spark: SparkSession) -> None:
     time.sleep(0.3)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once: a lambda's variable is, while a column that
-    a lambda refers to may be computed again for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 class Scratch:
     """Tables of an operator's own in the shared folder: columnar and compressed, where a
     checkpoint keeps whole rows, and dropped as soon as the operator is done with them."""

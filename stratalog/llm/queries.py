@@ -22,7 +22,7 @@ from . import (
     suffix_dedup,
     token_counts,
 )
-from .common import shared_path
+from .common import cut, shared_path
 
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
 
@@ -95,7 +95,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length histogram of all documents with its suffix sums."""
     lengths = token_counts.encoded_lengths(_table(spark, sf_dir, "documents"))
-    return token_counts.suffix_sums(token_counts.histogram(lengths))
+    # written once, since suffix sums read it twice and texts are to be encoded once
+    return token_counts.suffix_sums(cut(token_counts.histogram(lengths)))
 
 
 def _piece_digest(c: sentencepiece_codec.Codec, text: str, ids: list[int]):
