@@ -1,8 +1,8 @@
 """Quality rules: base filters and a hashed n-gram log-likelihood ratio.
 
-Unigrams and bigrams of whole texts are hashed into a fixed number of bins. The trusted
-target (documents labelled good) and the raw corpus (all documents) each give a multinomial
-over the bins. A document's score is the log-likelihood ratio of its n-grams, divided by their
+Unigrams and bigrams of whole texts are hashed into bins whose number grows with the square
+root of the corpus. The trusted target (documents labelled good) and the raw corpus (all
+documents) each give a multinomial over the bins. A document's score is the log-likelihood ratio of its n-grams, divided by their
 number; a fixed threshold decides. Weights are integers (millionths), so sums do not depend on
 order. Everything is DataFrame expressions; only the bins' counts reach the driver.
 """
@@ -15,7 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS = 8192
+LEAST_BINS = 8192
+BLOCK = 4096
 THRESHOLD = -0.09
 UNIT = 1_000_000
 MOST_TRUSTED = 200_000
@@ -95,15 +96,24 @@ def base_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return d.withColumn("base_failed", failed).drop("_lines", "_three", "_words", "_packed", "_pairs", "_places")
 
 
-def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, most_trusted: int = MOST_TRUSTED) -> list[int]:
+def bins_for(n_bytes: int) -> int:
+    """Bins for a corpus of so many bytes: the power of two at or above the square root, and
+    ``LEAST_BINS`` at least. N-grams per bin grow as fast as bins do, so at 100 TB the weights
+    are 2**24 numbers, which still go to every executor."""
+    return max(LEAST_BINS, 1 << math.ceil(math.log2(max(n_bytes, 1)) / 2))
+
+
+def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int | None = None, most_trusted: int = MOST_TRUSTED) -> list[int]:
     """Weights of the bins, in millionths: log of the trusted share over the raw share, both
-    with one added per bin.
+    with one added per bin. Without ``bins``, ``bins_for`` all bytes of the texts.
 
     ``trusted`` has the trusted ids; if there are more than ``most_trusted``, those with the
     smallest hashes are taken, so what is broadcast has a fixed bound. Counts come from all
-    n-grams of all documents in one scan, aggregated map-side per bin; ``bins`` rows reach the
-    driver. Without any trusted document all weights are 0.
+    n-grams of all documents in one scan, aggregated map-side per bin; they reach the driver as
+    one string for ``BLOCK`` bins. Without any trusted document all weights are 0.
     """
+    if bins is None:
+        bins = bins_for(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
     if bins & (bins - 1):
         raise ValueError("bins must be a power of two")
     good = trusted.select(F.col(id_col).alias("_good")).where(F.col("_good").isNotNull()).distinct()
@@ -112,9 +122,11 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     src = src.join(F.broadcast(good), F.col("_id") == F.col("_good"), "left").select("_text", F.col("_good").isNotNull().cast("int").alias("good"))
     grams = hashed(src, "_text").select("good", F.explode(F.concat("_one", "_two")).alias("gram"))
     counts = grams.groupBy(F.col("gram").bitwiseAND(bins - 1).cast("int").alias("bin")).agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
+    numbers = F.concat_ws(" ", F.flatten(F.collect_list(F.array("bin", "raw", "target"))).cast("array<string>"))
     r, t = np.zeros(bins), np.zeros(bins)
-    for row in counts.collect():
-        r[row["bin"]], t[row["bin"]] = row["raw"], row["target"]
+    for row in counts.groupBy(F.floor(F.col("bin") / BLOCK)).agg(numbers.alias("numbers")).collect():
+        found = np.array(row["numbers"].split(), np.int64).reshape(-1, 3)
+        r[found[:, 0]], t[found[:, 0]] = found[:, 1], found[:, 2]
     if not t.sum():
         return [0] * bins
     r, t = r + 1, t + 1
@@ -134,7 +146,8 @@ def scored(docs: DataFrame, weights: list[int], text_col: str = "text", threshol
     one condition, in which lambdas compute the split text again for every element.
     """
     bins = len(weights)
-    table = F.lit(np.array(weights, np.int64))
+    # one string, which the planner folds to an array; numbers one by one would take a call each
+    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
     made = ["_words", "_lines", "_one", "_two", "_three", "_packed", "_pairs", "_places", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     d = base_columns(docs.drop(*made), text_col)
     total = F.aggregate(F.concat("_one", "_two"), F.lit(0).cast("long"), lambda a, x: a + F.get(table, x.bitwiseAND(bins - 1).cast("int")))

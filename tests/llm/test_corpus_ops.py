@@ -302,7 +302,7 @@ def test_quality_scores(spark):
     sign = lambda x: x - 2**64 if x >> 63 else x
     word = lambda t: sign(xxhash.xxh64_intdigest(t.encode(), 42))
     weights = quality_rules.fit(d, spark.createDataFrame([(1,)], "doc_id long"))
-    ones = {t: word(t) % quality_rules.BINS for t in "abczyq"}
+    ones = {t: word(t) % quality_rules.LEAST_BINS for t in "abczyq"}
     raw, good = collections.Counter(), collections.Counter()
     for i, t in [(1, "abca"), (2, "zy"), (3, "azq")]:
         for c in t:
@@ -314,7 +314,7 @@ def test_quality_scores(spark):
     assert min(better) > 0 > max(worse)
     got = {r.doc_id: r.score for r in quality_rules.scored(d, weights).collect()}
     assert got[1] > got[3] > got[2]
-    assert quality_rules.fit(d, spark.createDataFrame([], "doc_id long")) == [0] * quality_rules.BINS
+    assert quality_rules.fit(d, spark.createDataFrame([], "doc_id long")) == [0] * quality_rules.LEAST_BINS
 
 
 def test_token_counts(spark, odd):
