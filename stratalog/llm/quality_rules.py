@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST_BINS = 8192
+LEAST_BINS = 16384
 BLOCK = 4096
 THRESHOLD = -0.09
 UNIT = 1_000_000
