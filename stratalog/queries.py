@@ -171,7 +171,7 @@ def positional_freq(spark, sf_dir):
 
 @query(f"WITH {DOCS}, {_CLUSTERS} SELECT content, CAST(n AS INT) AS n, array_to_string(feature, ' ') AS feature FROM cl")
 def positional_feature(spark, sf_dir):
-    return cluster.features(cluster.distinct_contents(doc_lines(spark, sf_dir))).select("content", "n", F.array_join("feature", " ").alias("feature"))
+    return cluster.features(doc_lines(spark, sf_dir)).select("content", "n", F.array_join("feature", " ").alias("feature"))
 
 
 @query(f"WITH {DOCS}, {_CLUSTERS} SELECT content, CAST(cid1 AS INT) AS cid1, CAST(cid2 AS INT) AS cid2 FROM cl")

@@ -1,6 +1,8 @@
 """Micro-goldens and properties of the template functions."""
 
 import random
+import re
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -69,6 +71,38 @@ def test_clusters_and_samples(spark):
     assert parse.farthest_first(["a b c", "a b d", "x y z"]) == ["a b c", "x y z", "a b d"]
 
 
+def _positional(contents):
+    """Feature of every content, by counting."""
+    split = {c: c.split() for c in contents if c.split()}
+    freq = Counter((len(t), i, w) for t in split.values() for i, w in enumerate(t))
+    out = {}
+    for c, t in split.items():
+        f = [freq[len(t), i, w] for i, w in enumerate(t)]
+        k, mode = max((f.count(x), x) for x in f)
+        want = max(f) if mode == 1 else mode
+        out[c] = [w for w, x in zip(t, f) if x == want]
+    return out
+
+
+@pytest.mark.parametrize("least, share, most", [(1 << 20, 64, 1 << 26), (0, 1 << 30, 1 << 26), (40, 4, 1 << 26), (1 << 20, 64, 60)])
+def test_features_of_small_and_large_lengths(spark, least, share, most):
+    rows = [f"{'a b c'.split()[i % 3]} x{i % 7} y{i % 2} " + " ".join("z" * (i % 4)) for i in range(60)] + ["a  b", "a b", "a b", " ", "", "\u00a0"]
+    lines = spark.createDataFrame(list(enumerate(rows)), "line_id long, content string")
+    got = cluster.features(lines, least, share, most).collect()
+    want = _positional(rows)
+    assert len(got) == len(want) and {r.content: r.feature for r in got} == want
+    assert {r.content: (r.n, r.cnt, r.first_line) for r in got} == {c: (len(c.split()), rows.count(c), rows.index(c)) for c in want}
+    assert cluster.features(lines.limit(0), least, share, most).collect() == []
+
+
+def test_small_lengths_move_lines_once(spark):
+    """Tokens are counted where their lines are: one exchange, of lines by length."""
+    lines = spark.createDataFrame([(i, f"a b{i % 3} c{i}") for i in range(20)], "line_id long, content string")
+    plan = cluster.features(lines)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan) and "tok#" not in "".join(re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan))
+    assert len(re.findall(r"Exchange ", plan)) == 1
+
+
 def test_merge(spark):
     cases = [("open <*> ok", "open x ok", "open <*> ok"), ("open y ok", "open x ok", None), ("open <*> ok now", "open x ok", None)]
     d = spark.createDataFrame([c[:2] for c in cases], "a string, b string")
